@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import hilbert, urls
+from . import hilbert, pieces, token_files, urls
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.op1,
+    "op4_token_files": token_files.op4,
+    "op6_pieces": pieces.op6,
     "op7_url_rules": urls.op7,
 }
 

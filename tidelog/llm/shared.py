@@ -119,3 +119,31 @@ def prefix_sums(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0).cast("long")))
+
+
+class Memo:
+    """What ``learn`` gives for each word, remembered in two generations of ``most`` words.
+
+    ``learn(words)`` yields the values of a list of words.  A full younger
+    generation replaces the older one, so frequent words stay and memory is bounded.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], Iterator[bytes]], most: int):
+        self.learn, self.most = learn, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def join(self, words: list[str]) -> bytes:
+        """The values of the words, end to end."""
+        try:
+            return b"".join(map(self.young.__getitem__, words))
+        except KeyError:
+            missing = set(words).difference(self.young)
+        if len(self.young) + len(missing) > self.most:
+            self.young, self.old = {}, self.young
+            missing = set(words)
+        known = missing.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
+        todo = list(missing - known)
+        self.young.update(zip(todo, self.learn(todo), strict=True))
+        return b"".join(map(self.young.__getitem__, words))
