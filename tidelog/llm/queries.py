@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import hilbert, pieces, token_files, urls
+from . import decontaminate, hilbert, language, pieces, token_files, urls
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.op1,
+    "op2_decontaminate": decontaminate.op2,
+    "op3_language": language.op3,
     "op4_token_files": token_files.op4,
     "op6_pieces": pieces.op6,
     "op7_url_rules": urls.op7,
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op7_url_rules": urls.OP7_SQL,
 }
