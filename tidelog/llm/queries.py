@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert, language, pieces, token_files, urls
+from . import decontaminate, hilbert, language, near_dedup, pieces, token_files, urls
 
 QUERIES = {
     "op1_hilbert_shards": hilbert.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_language": language.op3,
     "op4_token_files": token_files.op4,
+    "op5_near_dedup": near_dedup.op5,
     "op6_pieces": pieces.op6,
     "op7_url_rules": urls.op7,
 }
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
     "op7_url_rules": urls.OP7_SQL,
 }
