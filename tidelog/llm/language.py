@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, text_batches
+from .shared import in_arrow, map_arrow, text_batches
 
 SIZES = (2, 3, 4)
 #: Parameters of the fit: the sample of each language, and the n-grams kept of it.
@@ -153,7 +153,7 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Filter
 
     from pyspark.sql import Window
 
-    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = in_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = summed.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).select("lang", "gram").toPandas()
     languages = [r["lang"] for r in counts]

@@ -13,6 +13,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Where tests and single machines write when the session names no folder.
 _LOCAL_SCRATCH: list[str] = []
 
@@ -90,6 +92,12 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int =
             yield b.slice(at, step)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` on executors that are known to have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """Apply ``make()(batch)``; make runs once in each task, for what it needs to load."""
 
@@ -99,7 +107,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             f = f or make()
             yield f(b)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def ragged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

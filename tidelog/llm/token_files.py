@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import AtomicFile, Memo, filesystem, map_arrow, materialise, prefix_sums, scratch_path, text_batches
+from .shared import AtomicFile, Memo, filesystem, in_arrow, map_arrow, materialise, prefix_sums, scratch_path, text_batches
 
 MAGIC = b"TLTOKEN1"
 BLOCK_IDS = 1 << 20
@@ -123,7 +123,7 @@ def count_ids(encoded: DataFrame) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_arrow(encoded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def encode_block(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -202,7 +202,7 @@ def write_files(encoded: DataFrame, folder: str, vocab: int, partitions: int) ->
             yield pa.record_batch({"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:05d}.tok"], "docs": pa.array([docs_n], pa.int64()), "n_ids": pa.array([ids_n], pa.int64()), "bytes": pa.array([file.size], pa.int64())})
 
     laid = encoded.repartitionByRange(partitions, "doc").sortWithinPartitions("doc", "ids")
-    return materialise(laid.mapInArrow(run, "part int, path string, docs long, n_ids long, bytes long"), "token-manifest")
+    return materialise(in_arrow(laid, run, "part int, path string, docs long, n_ids long, bytes long"), "token-manifest")
 
 
 @lru_cache(2)
@@ -243,7 +243,7 @@ def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     start += int(ends[-1])
 
     parts = max(1, manifest.count())
-    return prefix_sums(manifest, "part", "n_ids", "start").select("path", "start").repartition(parts).mapInArrow(run, schema)
+    return in_arrow(prefix_sums(manifest, "part", "n_ids", "start").select("path", "start").repartition(parts), run, schema)
 
 
 def tokenise_to_files(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
