@@ -8,7 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the plans rely on; all are Spark's own.
 DEFAULTS = {
@@ -17,8 +17,12 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
+#: Off: see ``union``.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
 _shipped: list[SparkContext] = []
 
 
@@ -48,3 +52,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(path)
     _shipped[:] = [sc]
+
+
+def union(first: DataFrame, *others: DataFrame, missing: bool = False) -> DataFrame:
+    """``unionByName`` whose result can be grouped and joined safely.
+
+    Spark 4.1 takes the partitioning that a union's sides have in common as the union's
+    own.  Where AQE has coalesced the sides differently that is wrong, and groups come
+    out once from each side; so this is switched off for the session.
+    """
+    first.sparkSession.conf.set(UNION_PARTITIONING, "false")
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=missing)
+    return first
