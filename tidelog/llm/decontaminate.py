@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, materialise
+from ..session import union
+from .shared import filter_rows, map_arrow, materialise
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text in one automaton: about 100 times that in memory.
@@ -157,7 +158,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     out = scanned(first)
     while more is not None:
         found = scanned(more)
-        both = out.unionByName(found)
+        both = union(out, found)
         # Equal row numbers are the same document, once from each side.
         out = materialise(both.groupBy("row").agg(F.first("doc").alias("doc"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans")), "scanned")
         more = next(blocks, None)
@@ -166,6 +167,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out.select(F.col("doc").alias(id_col), "n_words", covered.alias("n_hit"), "items", "spans")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns as they are, in which no window of an item occurs."""
+    spark = docs.sparkSession
+    out = docs
+    for k, items in enumerate(item_blocks(benchmark, item_col, item_text, block_bytes)):
+        shared = spark.sparkContext.broadcast(items)
+
+        def make(shared=shared):
+            scanner = Scanner(shared.value, size)
+            return lambda texts: [not scanner.hits(t)[1] for t in texts]
+
+        # One automaton at a time in memory: a further block scans what the ones before have left.
+        out = filter_rows(out if not k else materialise(out, "clean"), make, text_col)
+    return out
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_arrow, map_arrow, text_batches
+from .shared import filter_rows, in_arrow, map_arrow, text_batches
 
 SIZES = (2, 3, 4)
 #: Parameters of the fit: the sample of each language, and the n-grams kept of it.
@@ -181,6 +181,17 @@ def identify(docs: DataFrame, filters: Filters, columns: list[str]) -> DataFrame
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is known with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def make():
+        model = shared.value
+        return lambda texts: [lang != UND and score >= least for lang, score in map(model.predict, texts)]
+
+    return filter_rows(docs, make)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out(F.col("doc_id"))

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import union
 from .shared import map_arrow, materialise
 
 REGISTERS, BAND, MANTISSA, ZERO_BITS = 128, 4, 10, 6
@@ -231,18 +232,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = union(edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour of a node goes to the least of the node and its neighbours.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # Small star: smaller neighbours and the node itself go to the least of them.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        small = union(large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), down.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+            return union(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")), edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         seen = state
 
 
@@ -275,7 +276,7 @@ def open_pairs(keyed: DataFrame, comps: DataFrame, depth: int = DEPTH, bucket: i
         later = keyed.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
         finer = wide.select("rep", "comp", "key", "band").join(later, "rep").where(F.col("band2") > F.col("band"))
         now = open_buckets(materialise(finer.select("rep", "comp", F.xxhash64("key", "key2").alias("key"), F.col("band2").alias("band")), "finer"))
-        found = found.union(between(now if level == depth else now.where(F.col("n") <= bucket)))
+        found = union(found, between(now if level == depth else now.where(F.col("n") <= bucket)))
     return found.distinct()
 
 
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialise(likely(pairs, reps, share), "likely")
-        wanted = materialise(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "wanted")
+        wanted = materialise(union(pairs.select(F.col("a").alias("rep")), pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
         # Up to WANTED ids (16 bytes each) are sent to each executor, which saves a shuffle of all texts.
         few = wanted.count() <= WANTED
         texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
@@ -301,15 +302,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     first = linked(stars)
     rest = linked(open_pairs(keyed.select("rep", "key", "band"), components(first)))
-    comps = components(first.union(rest))
+    comps = components(union(first, rest))
     classes = label(reps.select("digest", "rep"), comps, "rep", "component_id")
 
     named = some.select("doc", "n", "digest").join(classes, "digest").drop("digest")
     alone = sketches.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("component_id"))
-    out = named.select("doc", "n", "rep", "component_id").union(alone)
+    out = union(named.select("doc", "n", "rep", "component_id"), alone)
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("rep").alias("class_id"))
 
 
+def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, of the one document that stays of each component.
+
+    Rows of one id stay or go together, but of those with equal text one stays; rows
+    with a null id stay.
+    """
+    from pyspark.sql import Window
+
+    found = near_duplicates(docs, shingle_words, percent, id_col, text_col)
+    stay = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_stay")).distinct()
+    there = docs.where(F.col(id_col).isNotNull())
+    joined = there.join(stay, there[id_col].cast("long") == F.col("_stay"), "left_semi")
+    # The join has dealt the rows by id, so this needs no further shuffle.
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[c for c in ("lang", "source", "n_chars") if c in docs.columns] or [id_col])
+    once = joined.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    return union(once, docs.where(F.col(id_col).isNull()))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2).drop("class_id")
 

@@ -180,8 +180,8 @@ def encode_spans(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return out.withColumnRenamed("doc", id_col)
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, and digests of ids, decoded text and spans: what ``encode_spans`` gives, in fixed size."""
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """n_tokens, and digests of ids, decoded text and spans: what ``encode_spans`` gives, in fixed size (and the ids)."""
 
     def make():
         memo = PieceMemo(path)
@@ -194,13 +194,14 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            rows = [one(t, i) for t, i in zip(texts, memo.ids(texts), strict=True)]
+            found = memo.ids(texts)
+            rows = [one(t, i) for t, i in zip(texts, found, strict=True)]
             n, ids, decoded, spans = zip(*rows, strict=True)
-            return pa.record_batch({"doc": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids, "decoded_sha256": decoded, "spans_crc32": pa.array(spans, pa.int64())})
+            return pa.record_batch({"doc": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids, "decoded_sha256": decoded, "spans_crc32": pa.array(spans, pa.int64())} | ({"ids": pa.array([i.astype(np.int32) for i in found], pa.list_(pa.int32()))} if with_ids else {}))
 
         return f
 
-    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long", rows=128)
+    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long" + ", ids array<int>" * with_ids, rows=128)
     return out.withColumnRenamed("doc", id_col)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,40 +12,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise, scratch_path, scratch_root
 from ..session import ship
 
-#: Where tests and single machines write when the session names no folder.
-_LOCAL_SCRATCH: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, one machine) a temporary folder stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="tidelog-"))
-    return _LOCAL_SCRATCH[0]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage: after it a lost executor costs one reread, and what
-    depends on the order or sampling of a run (range bounds, row ids) is fixed.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["AtomicFile", "Memo", "filesystem", "filter_rows", "in_arrow", "map_arrow", "materialise", "prefix_sums", "ragged", "scratch_path", "scratch_root", "table", "text_batches"]
 
+#: What goes to Python at once: long texts, or one text repeated in many pairs, make large rows.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 4096
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,9 +64,15 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int =
             yield b.slice(at, step)
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` on executors that are known to have this package."""
-    ship(df.sparkSession)
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` on executors that are known to have this package, in batches of bounded size.
+
+    The bounds are settings of the session; they stay set, as plans read them when they run.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -110,6 +88,23 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return in_arrow(df, run, schema)
 
 
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]], text_col: str = "text", rows: int = 512) -> DataFrame:
+    """The rows of df, all columns as they are, whose text ``make()(texts)`` keeps; make runs once in each task."""
+    from pyspark.sql.types import StructField, StructType
+
+    names, at = df.columns, df.columns.index(text_col)
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+    schema = StructType([StructField(f.name, f.dataType) for f in plain.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = None
+        for b in text_batches(batches, rows):
+            keep = keep or make()
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
+
+    return in_arrow(plain, run, schema).toDF(*names)
+
+
 def ragged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The parts end to end, and the offsets of each."""
     ends = np.zeros(len(parts) + 1, np.int64)
