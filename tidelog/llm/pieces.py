@@ -23,6 +23,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import Memo, map_arrow
 
 MARK = "▁"
-#: Marked words that a task remembers before it starts anew.
+#: Marked words that a Python worker remembers.
 MEMO_WORDS = 400_000
 
 
@@ -134,23 +136,36 @@ class PieceMemo:
         self.bytes_of = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in m.pieces], np.int64)
         self.by_word = m.trainer_spec.model_type == m.trainer_spec.BPE and m.trainer_spec.byte_fallback and not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not m.trainer_spec.treat_whitespace_as_suffix
         self.by_word &= all(p.type in (p.NORMAL, p.BYTE, p.CONTROL, p.UNKNOWN) and not re.search(f"[^{MARK}]{MARK}", p.piece) for p in m.pieces)
-        self.words, self.memo = re.compile(f"{MARK}+[^{MARK}]*"), Memo(self._learn, MEMO_WORDS)
+        self.marks, self.memo = re.compile(f"{MARK}+[^{MARK}]*"), Memo(self._learn, MEMO_WORDS)
         self.marked = np.array([p.piece.startswith(MARK) for p in m.pieces])
+        self.mark_id = next((k for k, p in enumerate(m.pieces) if p.piece == MARK), None)
+        self.by_word &= self.mark_id is not None
+
+    def words(self, text: str) -> list[str]:
+        """The marked words of a text, each without its first mark."""
+        if not text:
+            return []
+        if "  " not in text and text[0] != " " and MARK not in text:  # no two marks meet
+            return text.split(" ")
+        return [w[1:] for w in self.marks.findall(MARK + text.replace(" ", MARK))]
 
     def _learn(self, words: list[str]) -> Iterator[bytes]:
         """Words of one mark go to the library in one text: a word begins where a piece with a mark does."""
-        one = [w for w in words if len(w) > 1 and w[1] != MARK]
-        ids = np.array(self.sp.encode("".join(one)[1:], num_threads=1), "<u4")
+        one = [w for w in words if w and w[0] != MARK]
+        ids = np.array(self.sp.encode(" ".join(one), num_threads=1), "<u4")
         raw, at = ids.tobytes(), (4 * np.flatnonzero(self.marked[ids])).tolist()
-        found = {MARK: np.array([self.sp.piece_to_id(MARK)], "<u4").tobytes()}
-        found |= zip(one, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=False)), strict=True)
+        cut = (raw[i:j] for i, j in pairwise([*at, len(raw)]))
+        if len(one) == len(words):
+            return cut
+        found = {"": np.array([self.mark_id], "<u4").tobytes()}
+        found |= zip(one, cut, strict=True)
         # The library puts a mark before what it gets.
-        return (found[w] if w in found else np.array(self.sp.encode(w[1:]), "<u4").tobytes() for w in words)
+        return (found[w] if w in found else np.array(self.sp.encode(w), "<u4").tobytes() for w in words)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(i, "<u4") for i in self.sp.encode(texts, num_threads=1)]
-        return [np.frombuffer(self.memo.join(self.words.findall(MARK + t.replace(" ", MARK))) if t else b"", "<u4") for t in texts]
+        return [np.frombuffer(i, "<u4") for i in self.memo.join([self.words(t) for t in texts])]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of each piece in the UTF-8 bytes of the text."""
@@ -161,11 +176,17 @@ class PieceMemo:
         return begin[ends - self.bytes_of[ids]], end[ends - 1]
 
 
+@lru_cache(1)
+def piece_memo(path: str) -> PieceMemo:
+    """One for each Python worker: what a task has learned serves the next."""
+    return PieceMemo(path)
+
+
 def encode_spans(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ids, begins and ends (arrays) and the decoded text of each row."""
 
     def make():
-        memo = PieceMemo(path)
+        memo = piece_memo(path)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -184,7 +205,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """n_tokens, and digests of ids, decoded text and spans: what ``encode_spans`` gives, in fixed size (and the ids)."""
 
     def make():
-        memo = PieceMemo(path)
+        memo = piece_memo(path)
         number = [str(i) for i in range(memo.sp.get_piece_size())]
 
         def one(text: str, ids: np.ndarray) -> tuple:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -125,28 +126,53 @@ def prefix_sums(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 
 class Memo:
-    """What ``learn`` gives for each word, remembered in two generations of ``most`` words.
+    """What ``learn`` gives for each word, remembered for the first ``most`` words.
 
-    ``learn(words)`` yields the values of a list of words.  A full younger
-    generation replaces the older one, so frequent words stay and memory is bounded.
+    ``learn(words)`` yields the values of a list of words.  Words beyond ``most`` are
+    learned again each time; when they come to more than a fifth of the words since
+    then, the text has changed and remembering starts anew.  So memory is bounded, and
+    what is remembered is mostly what is frequent.
     """
 
     def __init__(self, learn: Callable[[list[str]], Iterator[bytes]], most: int):
         self.learn, self.most = learn, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def join(self, words: list[str]) -> bytes:
-        """The values of the words, end to end."""
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            missing = set(words).difference(self.young)
-        if len(self.young) + len(missing) > self.most:
-            self.young, self.old = {}, self.young
-            missing = set(words)
-        known = missing.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in known)
-        todo = list(missing - known)
-        self.young.update(zip(todo, self.learn(todo), strict=True))
-        return b"".join(map(self.young.__getitem__, words))
+        self.known: dict[str, bytes] = {}
+        self.beyond, self.seen = 0, 0
+
+    def values(self, words: list[str], seen: int) -> list[bytes]:
+        """The values of different words, which stand for ``seen`` words of text."""
+        known = self.known
+        todo = [w for w in words if w not in known]
+        room = max(0, self.most - len(known))
+        known.update(zip(todo, self.learn(todo), strict=True))
+        out = list(map(known.__getitem__, words))
+        self.seen += seen
+        if len(todo) > room:
+            for w in todo[room:]:
+                del known[w]
+            self.beyond += len(todo) - room
+            if self.beyond > max(self.most, self.seen // 5):
+                self.known, self.beyond, self.seen = {}, 0, 0
+        return out
+
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """For each list of words their values, end to end."""
+        words = list(set(chain.from_iterable(texts)))
+        value = dict(zip(words, self.values(words, sum(map(len, texts))), strict=True)).__getitem__
+        return [b"".join(map(value, t)) for t in texts]
+
+    def gather(self, texts: pa.ListArray, code: str) -> list[bytes]:
+        """As ``join`` for an array of lists of words whose values are numbers of type code."""
+        words = texts.flatten().dictionary_encode()
+        values = self.values(words.dictionary.to_pylist(), len(words))
+        pool = np.frombuffer(b"".join(values), code)
+        size = np.array(list(map(len, values)), np.int64) // pool.itemsize
+        start, index = np.cumsum(size) - size, words.indices.to_numpy()
+        lengths = size[index]
+        ends = np.cumsum(lengths)
+        # Number k of the result is number k - (its word's begin there) of the word's value.
+        at = np.repeat((start[index] - (ends - lengths)).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = memoryview(pool[at].tobytes())
+        cut = (np.concatenate([[0], ends])[texts.offsets.to_numpy() - texts.offsets[0].as_py()] * pool.itemsize).tolist()
+        return [bytes(flat[a:b]) for a, b in pairwise(cut)]

@@ -86,13 +86,9 @@ class WordMemo:
         return (raw[i:j] for i, j in zip([0, *ends], ends, strict=False))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for t in texts:
-            if self.fits and self.stable.fullmatch(t) and "<|" not in t:
-                out.append(self.memo.join(self.words.findall(t.lower())))
-            else:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        by_word = [self.fits and self.stable.fullmatch(t) is not None and "<|" not in t for t in texts]
+        joined = iter(self.memo.join([self.words.findall(t.lower()) for t, w in zip(texts, by_word, strict=True) if w]))
+        return [next(joined) if w else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, by_word, strict=True)]
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
