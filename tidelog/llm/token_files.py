@@ -14,10 +14,11 @@ numbers (int64), a null flag each (uint8), the ids of each document (int64),
 control bytes, data bytes.  Blocks hold about ``BLOCK_IDS`` ids or one longer
 document, so memory is bounded by the longest text.
 
-Words are encoded by the library once and remembered: ``WordMemo`` splits texts
-the way this tokenizer's own pattern does, but only texts made of characters
-whose class, case and composition are the same in all Unicode versions; all
-other texts go through the library whole.
+Words are encoded by the library once and remembered: ``WordMemo`` splits texts at
+white space, which no match of this tokenizer's pattern crosses, and learns the chunks
+by that pattern, but only in texts made of characters whose class, case and composition
+are the same in all Unicode versions; all other texts go through the library whole.
+Between the steps an id takes 2 bytes if the vocabulary allows it, else 4.
 
 Cases: a null or empty text has the end id only; equal document numbers are
 ordered by their ids; a null document number comes first and stays null; an
@@ -32,9 +33,11 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,20 +45,26 @@ from .shared import AtomicFile, Memo, filesystem, in_arrow, map_arrow, materiali
 
 MAGIC = b"TLTOKEN1"
 BLOCK_IDS = 1 << 20
-#: Words that a task remembers before it starts anew.
-MEMO_WORDS = 400_000
+#: Words that a Python worker remembers, and words in a line that the library gets.
+MEMO_WORDS, LINE_WORDS = 400_000, 50
 
 STABLE = "\t\n\r" + "".join(map(chr, [*range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC]))
 
 
+def code_of(vocab: int) -> str:
+    """The type of ids between the steps."""
+    return "<u2" if vocab <= 1 << 16 else "<u4"
+
+
 class WordMemo:
-    """``ids(texts)``: the library's ids of each text, as little-endian uint32 bytes."""
+    """``ids(texts)``: the library's ids of each text, as little-endian bytes of type ``code``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, code: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.code, self.size = code, np.dtype(code).itemsize
         self.memo = Memo(self._learn, MEMO_WORDS)
         kinds = {c: unicodedata.category(c)[0] for c in STABLE + STABLE.lower()}
         cls = lambda *k: "".join(re.escape(c) for c, x in sorted(kinds.items()) if x in k)
@@ -77,25 +86,41 @@ class WordMemo:
         split = next((x for x in pre.get("pretokenizers", []) if x["type"] == "Split"), {})
         return kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split.get("behavior") == "Removed" and t["model"].get("end_of_word_suffix") == "</w>"
 
-    def _learn(self, words: list[str]) -> Iterator[bytes]:
-        """Words go to the library in one text; a word ends where a token with the end mark does."""
-        if not words:
+    def _learn(self, chunks: list[str]) -> Iterator[bytes]:
+        """The words of all chunks go to the library in lines; a word ends where a token with the end mark does."""
+        if not chunks:
             return iter(())
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-        return (raw[i:j] for i, j in zip([0, *ends], ends, strict=False))
+        words = [self.words.findall(c) for c in chunks]
+        if not all(words):  # the ends of a text that begins or ends with white space
+            full = dict(zip(filter(None, chunks), self._learn([c for c in chunks if c]), strict=True))
+            return (full.get(c, b"") for c in chunks)
+        flat = list(chain.from_iterable(words))
+        # Short texts: the library takes longer for a word in a long one.
+        lines = [" ".join(flat[i : i + LINE_WORDS]) for i in range(0, len(flat), LINE_WORDS)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)), self.code)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        last = ends[np.cumsum(list(map(len, words))) - 1]
+        raw, at = ids.tobytes(), (self.size * last).tolist()
+        return (raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        by_word = [self.fits and self.stable.fullmatch(t) is not None and "<|" not in t for t in texts]
-        joined = iter(self.memo.join([self.words.findall(t.lower()) for t, w in zip(texts, by_word, strict=True) if w]))
-        return [next(joined) if w else np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, by_word, strict=True)]
+        by_chunk = [self.fits and self.stable.fullmatch(t) is not None and "<|" not in t for t in texts]
+        lower = pa.array([t.lower() for t, c in zip(texts, by_chunk, strict=True) if c], pa.string())
+        joined = iter(self.memo.gather(pc.utf8_split_whitespace(lower), self.code))
+        return [next(joined) if c else np.array(self.tok.encode(t, add_special_tokens=False).ids, self.code).tobytes() for t, c in zip(texts, by_chunk, strict=True)]
+
+
+@lru_cache(1)
+def word_memo(path: str, code: str) -> WordMemo:
+    """One for each Python worker: what a task has learned serves the next."""
+    return WordMemo(path, code)
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, ids (binary: little-endian uint32, the end id last) of each row."""
+def encode_ids(docs: DataFrame, path: str, end_id: int, code: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, ids (binary: little-endian integers of type code, the end id last) of each row."""
 
     def make():
-        memo, end = WordMemo(path), np.array([end_id], "<u4").tobytes()
+        memo, end = word_memo(path, code), np.array([end_id], code).tobytes()
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = memo.ids([t or "" for t in b.column(1).to_pylist()])
@@ -103,16 +128,16 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, ids binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, ids binary", rows=4096)
 
 
-def count_ids(encoded: DataFrame) -> DataFrame:
+def count_ids(encoded: DataFrame, code: str = "<u4") -> DataFrame:
     """id and n over all documents; at most a row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in text_batches(batches):
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), code))
             if len(got) > len(total):
                 got, total = total, got.astype(np.int64)
             total[: len(got)] += got
@@ -151,13 +176,13 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes]]]:
     docs, ids, held = [], [], 0
     for b in text_batches(batches):
         for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             docs.append(d)
             ids.append(i)
-            held += len(i) // 4
+            held += len(i) // size
             if held >= BLOCK_IDS:
                 yield docs, ids
                 docs, ids, held = [], [], 0
@@ -166,10 +191,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
 
 
 def write_files(encoded: DataFrame, folder: str, vocab: int, partitions: int) -> DataFrame:
-    """Write the folder; returns its manifest: part, path, docs, n_ids, bytes."""
-    spark = encoded.sparkSession
+    """Write the folder; returns its manifest: part, path, docs, n_ids, bytes.  The ids are of type ``code_of(vocab)``."""
+    spark, code = encoded.sparkSession, code_of(vocab)
+    size = np.dtype(code).itemsize
     # Bounded by the vocabulary, whatever the corpus.
-    counted = count_ids(encoded).orderBy(F.desc("n"), "id").limit(vocab).toPandas()
+    counted = count_ids(encoded, code).orderBy(F.desc("n"), "id").limit(vocab).toPandas()
     id_of = np.concatenate([counted["id"].to_numpy(np.int64), np.setdiff1d(np.arange(vocab), counted["id"].to_numpy(np.int64))]).astype("<u4")
     out = AtomicFile(folder, "ranks.bin")
     out.write(id_of.tobytes())
@@ -182,13 +208,13 @@ def write_files(encoded: DataFrame, folder: str, vocab: int, partitions: int) ->
         from pyspark import TaskContext
 
         part, ranks, file, docs_n, ids_n = TaskContext.get().partitionId(), shared.value, None, 0, 0
-        for docs, ids in _blocks(batches):
+        for docs, ids in _blocks(batches, size):
             if file is None:
                 file = AtomicFile(folder, f"part-{part:05d}.tok")
                 file.write(MAGIC)
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.frombuffer(b"".join(ids), code)
             control, data = encode_block(ranks[flat])
-            for x in (np.array([len(docs), len(flat), len(control), len(data)]), np.array([d or 0 for d in docs]), np.array([d is None for d in docs], np.uint8), np.array([len(i) // 4 for i in ids])):
+            for x in (np.array([len(docs), len(flat), len(control), len(data)]), np.array([d or 0 for d in docs]), np.array([d is None for d in docs], np.uint8), np.array([len(i) // size for i in ids])):
                 file.write(x.astype("<i8" if x.dtype != np.uint8 else np.uint8).tobytes())
             file.write(control)
             file.write(data)
@@ -248,7 +274,7 @@ def tokenise_to_files(docs: DataFrame, path: str, folder: str, end_id: int, id_c
 
     vocab = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return write_files(materialise(encode_ids(docs, path, end_id, id_col, text_col), "ids"), folder, vocab, partitions)
+    return write_files(materialise(encode_ids(docs, path, end_id, code_of(vocab), id_col, text_col), "ids"), folder, vocab, partitions)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
