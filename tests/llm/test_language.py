@@ -30,12 +30,20 @@ def test_cases(spark, sf):
     for i in (4, 5, 6, 12):
         assert (by[i]["lang_pred"], by[i]["score"]) == (UND, 0.0)
     assert by[11]["lang_pred"] in model.languages and all(0 <= r["score"] <= 1 for r in got)
-    kept = keep_identified(cases.clashing(spark), model)
+    kept = keep_identified(cases.clashing(spark), model, covered=0.0)
     assert kept.columns == cases.clashing(spark).columns
     assert not {4, 5, 6, 12} & {r["doc_id"] for r in kept.collect()} and kept.count() == sum(r["lang_pred"] != UND for r in got)
     assert identify(cases.empty(spark), model, ["doc_id"]).count() == 0
 
 
+def test_other_languages_and_noise_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = [(9001, "Съешь же ещё этих мягких французских булок да выпей чаю"), (9002, "xqzj wvkq zzxj qqwx vjkz xkcd qzvx"), (9003, "1234 ?!")]
+    model = fit(docs)
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(strange, "doc_id long, text string"))
+    assert {r[0] for r in both.select("doc_id").subtract(keep_identified(both, model).select("doc_id")).collect()} == {9001, 9002, 9003}
+
+
 def test_nothing_to_learn(spark):
     model = fit(cases.empty(spark))
     assert model.languages == [] and model.predict("some text") == (UND, 0.0)

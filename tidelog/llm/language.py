@@ -36,6 +36,8 @@ SIZES = (2, 3, 4)
 TRAIN_DOCS, TOP = 2000, 6000
 SLOT_BITS, PROBES, MAX_LANGUAGES = 17, 2, 4096
 UND = "und"
+#: Share of its n-grams that a text's language has to contain; texts of a learned language have 0.85 and more.
+COVERED = 0.5
 
 #: Lower-cased code points below this are looked up; the others are kept as they are.
 _LOW = 0x600
@@ -116,12 +118,17 @@ class Filters:
         hit = out[: len(self.languages)]
         return np.maximum(0.0, (hit - len(h) * self.false) / (1 - self.false + 1e-9))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the share of the text's n-grams that the language contains."""
         if not text or not self.languages or not has_letter(text):
-            return UND, 0.0
-        found = self.members(grams(fold(text)))
+            return UND, 0.0, 0.0
+        h = grams(fold(text))
+        found = self.members(h)
         best, total = int(np.argmax(found)), float(found.sum())
-        return self.languages[best], float(found[best]) / total if total > 0 else 0.0
+        return self.languages[best], float(found[best]) / total if total > 0 else 0.0, min(1.0, float(found[best]) / max(1, len(h)))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def held_out(id_col: Column) -> Column:
@@ -181,13 +188,17 @@ def identify(docs: DataFrame, filters: Filters, columns: list[str]) -> DataFrame
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is known with a score of at least ``least``."""
+def keep_identified(docs: DataFrame, filters: Filters, covered: float = COVERED) -> DataFrame:
+    """The rows of docs, all columns as they are, that are in a learned language.
+
+    What has no letter goes, and what is in another language or none: then no language
+    contains ``covered`` of the text's n-grams.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def make():
         model = shared.value
-        return lambda texts: [lang != UND and score >= least for lang, score in map(model.predict, texts)]
+        return lambda texts: [lang != UND and share >= covered for lang, _, share in map(model.judge, texts)]
 
     return filter_rows(docs, make)
 
