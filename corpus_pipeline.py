@@ -3,8 +3,9 @@
 Each stage takes what its predecessor has kept, as a table that was written and read
 again, and each but the last returns the columns of ``documents``:
 
-1. ``language``: documents whose language can't be identified go (no text, no letter,
-   or a score below ``LEAST_SCORE``).  The model is fitted on the stage's own input.
+1. ``language``: documents whose language can't be identified go: those without a
+   letter, and those of which no learned language contains half of the n-grams.  The
+   model is fitted on the stage's own input.
 2. ``near_dedup``: of each group of near copies (five-word shingles, Jaccard similarity
    of 0.8 or more) the document with the least id stays.
 3. ``decontaminate``: documents with a passage of the benchmark go.
@@ -19,12 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm import decontaminate, language, near_dedup, pieces
 from tidelog.llm.shared import materialise, table
 
-#: A text of one learned language shares its n-grams with others; far fewer are known in noise.
-LEAST_SCORE = 0.0
-
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.keep_identified(docs, language.fit(docs), LEAST_SCORE)
+    return language.keep_identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
