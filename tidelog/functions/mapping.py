@@ -161,13 +161,16 @@ class EventTypes:
         t = self.by_kind(kind) if isinstance(kind, type) else self.by_name(kind)
         return F.lit(t.name), self.codec.encode(*columns)
 
-    def to_object(self, name: str, payload: str | None) -> object:
-        """One decoded event in Python: the dataclass of the name, or a dict."""
+    def to_object(self, name: str, payload: str | None, kind: type | str | None = None) -> object:
+        """One decoded event in Python: the dataclass of the name (or of ``kind``, whatever the name), or a dict."""
         import json
 
         from ..errors import SerializationError
 
-        t = self.by_name(name)
+        if kind is None:
+            t = self.by_name(name)
+        else:
+            t = EventType(name, kind if isinstance(kind, type) else None, schema_of(kind))
         try:
             value = json.loads(payload or "")
         except ValueError as e:
@@ -177,12 +180,11 @@ class EventTypes:
         fields = {f.name: value.get(f.name) for f in t.schema.fields}
         return t.kind(**fields) if t.kind else fields
 
-    def to_record(self, event: object) -> tuple[str, str]:
-        """Name and payload of one event in Python."""
+    def to_record(self, event: object, name: str | None = None) -> tuple[str, str]:
+        """Name (or the given one, which needs no mapping) and payload of one event in Python."""
         import json
 
-        t = self.by_kind(type(event))
-        return t.name, json.dumps(dataclasses.asdict(event), separators=(",", ":"))
+        return name or self.by_kind(type(event)).name, json.dumps(dataclasses.asdict(event), separators=(",", ":"))
 
 
 class NameMap:

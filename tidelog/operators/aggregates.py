@@ -139,6 +139,28 @@ class AggregateType:
             yield e
 
 
+class Model:
+    """Aggregate types by the class of their state, over one map of event names."""
+
+    def __init__(self, types: EventTypes | None = None):
+        self.types = types or EventTypes()
+        self._kinds: dict[type, AggregateType] = {}
+
+    def add(self, kind: AggregateType) -> Model:
+        """Adds a type; events that it applies and that have no name yet go by their type's."""
+        known = {t.kind for t in self.types.types}
+        for event in kind.appliers:
+            if event not in known:
+                self.types.map(event)
+        self._kinds[kind.kind] = kind
+        return self
+
+    def of(self, state: type) -> AggregateType:
+        if state not in self._kinds:
+            raise LookupError(f"the model has no aggregate type for {state.__name__}")
+        return self._kinds[state]
+
+
 @dataclass
 class LoadedAggregate:
     state: object

@@ -2,6 +2,7 @@
 
 from .runner import CheckpointFrequency, Consumer, Subscription, on
 from .source import read_log_stream
+from .state_projection import HandlerProjection, StateProjection
 from .stateful import gated_counter, stream_table
 
-__all__ = ["CheckpointFrequency", "Consumer", "Subscription", "gated_counter", "on", "read_log_stream", "stream_table"]
+__all__ = ["CheckpointFrequency", "Consumer", "HandlerProjection", "StateProjection", "Subscription", "gated_counter", "on", "read_log_stream", "stream_table"]
