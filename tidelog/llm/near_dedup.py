@@ -1,25 +1,30 @@
 """MinHash near-dedup by HyperMinHash registers.
 
 A document is the set of its distinct word shingles.  Each shingle is hashed once;
-a few bits choose one of ``REGISTERS`` buckets, and a bucket keeps only its least
-hash, stored as the count of leading zeros and ``MANTISSA`` bits behind the first one
-(16 bits in all).  Four registers make a band; documents that share a band are
-candidates.  A pair's Jaccard similarity is estimated from all its registers, less
-the agreements that compressed registers have by chance, and what stays well below
-the threshold goes no further; the others are verified on their full shingle sets.
+one part of the hash chooses one of ``REGISTERS`` buckets, and a bucket keeps only its
+least hash, stored as the count of leading zeros and ``MANTISSA`` bits behind the first
+one (16 bits in all).  ``BAND`` registers from all over the document make a band; in
+bands an empty bucket stands for the first one in an order of its own that isn't, so the
+bands of short texts are as selective as those of long ones.  Bands are as long as they
+are because unrelated texts share their frequent shingles: what they share by chance
+has to stay rare among very many documents.  Documents that share a band are
+candidates.  A pair's Jaccard similarity is estimated from ``KEPT`` registers, less the
+agreements that compressed registers have by chance, and what stays well below the
+threshold goes no further; the others are verified on their full shingle sets.
 
 How groups stay cheap, however large:
 
 * Documents with equal shingle sets are one class; only its least id goes on.
-* In each band bucket every member is paired with the bucket's least id (a star).
-  Verified stars make components, which join nearly all of a group of copies.
-* Pairs whose ends are in different components after that are the only ones left to
-  try.  A bucket that still holds several components emits its pairs between
-  components; one of more than ``BUCKET`` members is first cut into finer buckets by
-  a further band (two similar documents share about 13 of 32), again and again, so
-  that only documents that agree on more and more registers meet.
-
-A link of similarity 0.8 is missed if no band agrees, about (1 - 0.8^4)^32 = 5e-8.
+* In each band bucket one member is the hub; every document is paired with the hub that
+  it shares most buckets with (a star).  Verified stars make components.  Buckets that
+  still hold several components take part in the next round, with other hubs, as long as
+  rounds close some: a group of near copies falls into one component at a pair a document.
+* Then the members of each open bucket are compared by their whole sets (32 bits a
+  shingle) in blocks of BLOCK, each with each, whatever the bucket's size.  Pairs that
+  differ by more than the threshold never become rows; those that may link two
+  components are verified like the others.
+
+A link of similarity 0.8 is missed if no band agrees, about (1 - 0.8^7)^64 = 3e-7.
 Nothing is capped or dropped; components are found by joins, in tables written to
 the shared folder at each step, and nothing grows on the driver.
 
@@ -40,14 +45,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import union
-from .shared import map_arrow, materialise
-
-REGISTERS, BAND, MANTISSA, ZERO_BITS = 128, 4, 10, 6
-BANDS = REGISTERS // BAND
-#: Members of a band bucket from which it is cut by a further band.
-BUCKET = 48
-#: Bands that a finer bucket can be cut by before its pairs are emitted whatever their number.
-DEPTH = 6
+from .shared import in_arrow, map_arrow, materialise
+
+BAND, BANDS, MANTISSA, ZERO_BITS = 7, 64, 10, 6
+REGISTERS = BAND * BANDS
+#: Registers that are kept for estimates.
+KEPT = 128
+#: Rounds of stars at most, and the share of open memberships that a round has to close for there to be another.
+TURNS, CLOSED = 8, 0.05
+#: Members of a bucket that are compared with another such block at a time.
+BLOCK = 2048
 #: Ids of documents to verify that are broadcast at most; more are joined by a shuffle.
 WANTED = 1_000_000
 #: A pair goes to verification if its estimate is at most so many standard deviations below the threshold.
@@ -118,9 +125,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 def registers(h: np.ndarray) -> np.ndarray:
     """HyperMinHash: for each bucket, leading zeros and mantissa of the least hash; 0 if it is empty."""
-    bits = REGISTERS.bit_length() - 1
     least = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least, (h >> np.uint64(64 - bits)).astype(np.int64), h << np.uint64(bits))
+    np.minimum.at(least, ((h >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64), _mix(h))
     used = least != np.uint64(0xFFFFFFFFFFFFFFFF)
     # frexp gives the position of the first one; 53 bits of a double hold it and the mantissa.
     _, e = np.frexp((least >> np.uint64(11)).astype(np.float64))
@@ -129,6 +135,46 @@ def registers(h: np.ndarray) -> np.ndarray:
     return np.where(used, ((zeros + 1).astype(np.uint64) << np.uint64(MANTISSA)) | body, 0).astype(np.uint16)
 
 
+_AT = np.arange(REGISTERS)
+#: Where an empty bucket looks in turn; it tries itself first.
+_STEPS = (0, 8, 32, 96, 224, REGISTERS)
+#: The registers of each band, from all over the document.
+_DEALT = np.argsort(_mix(_AT.astype(np.uint64) + np.uint64(1))).reshape(BANDS, BAND)
+
+
+@lru_cache(1)
+def _probes() -> np.ndarray:
+    """For each bucket an order of all buckets that begins with itself."""
+    keys = _mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
+    keys[_AT, _AT] = 0
+    return np.argsort(keys, axis=1)
+
+
+def sources(regs: np.ndarray) -> np.ndarray:
+    """For each bucket the one that stands for it: the first that isn't empty in its order."""
+    probes, full = _probes(), regs != 0
+    out, left = np.zeros(REGISTERS, np.int64), _AT
+    for a, b in zip(_STEPS, _STEPS[1:], strict=False):
+        hit = full[probes[left, a:b]]
+        first = hit.argmax(1)
+        found = hit[np.arange(len(left)), first]
+        out[left[found]] = probes[left[found], a + first[found]]
+        left = left[~found]
+        if not len(left):
+            break
+    return out
+
+
+def bands(regs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of a document's registers, not all of which are empty."""
+    source = sources(regs)
+    value = _mix(regs[source].astype(np.uint64) << np.uint64(16) | source.astype(np.uint64))[_DEALT]
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        key = _mix(key * np.uint64(_P) + value[:, k])
+    return key
+
+
 @lru_cache(4096)
 def chance(n: int, m: int) -> float:
     """The expected number of equal registers of two disjoint sets of 2^(n/2) and 2^(m/2) members."""
@@ -139,7 +185,7 @@ def chance(n: int, m: int) -> float:
     high = low + 2.0 ** -(i + MANTISSA)
     # The least of Poisson many hashes falls into a register's value.
     p = (np.exp(-a * low) - np.exp(-a * high)) * (np.exp(-b * low) - np.exp(-b * high))
-    return float(REGISTERS * p.sum())
+    return float(KEPT * p.sum())
 
 
 def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +199,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (set size), digest (of the set) and regs (registers) of each row."""
+    """doc, n (set size), digest (of the set), regs (kept registers) and keys (of bands) of each row."""
 
     def make():
         import hashlib
@@ -161,24 +207,22 @@ def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
         def one(text: str | None) -> tuple:
             h = shingles(text, size)
             if not len(h):
-                return 0, None, None
-            return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), registers(h).tobytes()
+                return 0, None, None, None
+            regs = registers(h)
+            return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), regs[:KEPT].tobytes(), bands(regs).view(np.int64)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            n, digest, regs = zip(*map(one, b.column(1).to_pylist()), strict=True)
-            return pa.record_batch({"doc": b.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "regs": pa.array(regs, pa.binary())})
+            n, digest, regs, keys = zip(*map(one, b.column(1).to_pylist()), strict=True)
+            return pa.record_batch({"doc": b.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "regs": pa.array(regs, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, n long, digest binary, regs binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, n long, digest binary, regs binary, keys array<long>")
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """rep, band, key: a row for each band that is not empty (the registers of an empty band say nothing)."""
-    band = 2 * BAND
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.substring(F.col("regs"), k * band + 1, F.lit(band)).alias("key")))
-    keyed = reps.select("rep", F.explode(keys).alias("b")).select("rep", F.col("b.band").cast("int").alias("band"), F.col("b.key").alias("raw"))
-    return keyed.where(F.col("raw") != F.lit(bytes(band))).select("rep", F.xxhash64("band", "raw").alias("key"), "band")
+    """rep and key: a row for each band."""
+    return reps.select("rep", F.explode("keys").alias("key"))
 
 
 def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
@@ -188,7 +232,7 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = lambda name: np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            rows = lambda name: np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint16).reshape(-1, KEPT)
             j, used = estimate(rows("ra"), rows("rb"), b.column("na").to_numpy(), b.column("nb").to_numpy())
             spread = SIGMAS * np.sqrt(share * (1 - share) / np.maximum(used, 1))
             keep = pa.array(j >= share - spread)
@@ -248,36 +292,122 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def label(frame: DataFrame, comps: DataFrame, column: str, out: str) -> DataFrame:
+    """frame with ``out``: the component of ``column``, or itself where it has none."""
     named = comps.select(F.col("node").alias(column), F.col("comp").alias("_c"))
     return frame.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
 def open_buckets(members: DataFrame) -> DataFrame:
-    """The members (rep, comp, key, band) of buckets that hold several components, with the bucket's size n."""
-    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    return materialise(members.join(open_.select("key", "n"), "key"), "open")
+    """The members (rep, key, comp) of buckets that hold several components, with the bucket's size n."""
+    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "n")
+    return materialise(members.select("rep", "key", "comp").join(open_, "key"), "open")
+
+
+def stars(members: DataFrame, turn: int) -> DataFrame:
+    """A pair (a, b) for each member that isn't in the component of all its hubs: a is the one it shares most buckets with.
+
+    The hub of a bucket is its least id in turn 0, then by a hash of id and turn.
+    """
+    order = F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))
+    hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), order).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.comp").alias("hub_comp"))
+    met = members.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
+    shared = met.groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    best = shared.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    return best.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
 
-def between(members: DataFrame) -> DataFrame:
-    """The pairs of members of one bucket whose ends are in different components."""
-    left, right = members.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), members.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    return materialise(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct(), "pairs")
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of some reps.  Up to WANTED ids (16 bytes each) are sent to each executor, which saves a shuffle of all texts."""
+    return texts.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "rep", "left_semi")
 
 
-def open_pairs(keyed: DataFrame, comps: DataFrame, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
-    """The pairs left to try after the stars: keyed has rep, key and band, comps the stars' components."""
-    now = open_buckets(label(keyed, comps, "rep", "comp"))
-    found = between(now.where(F.col("n") <= bucket))
-    for level in range(1, depth + 1):
-        wide = now.where(F.col("n") > bucket)
-        if wide.isEmpty():
-            return found.distinct()
-        # Finer buckets: of members that agree in a later band too.
-        later = keyed.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
-        finer = wide.select("rep", "comp", "key", "band").join(later, "rep").where(F.col("band2") > F.col("band"))
-        now = open_buckets(materialise(finer.select("rep", "comp", F.xxhash64("key", "key2").alias("key"), F.col("band2").alias("band")), "finer"))
-        found = union(found, between(now if level == depth else now.where(F.col("n") <= bucket)))
-    return found.distinct()
+def short_sets(texts: DataFrame, size: int) -> DataFrame:
+    """rep and set: the lowest 32 bits of each shingle hash."""
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch({"rep": b.column(0), "set": pa.array([np.unique(shingles(t, size).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
+
+        return f
+
+    return map_arrow(texts.select("rep", "text"), make, "rep long, set binary")
+
+
+def block_links(comp: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Of the members of a block, pairs that link its components as far as their short sets tell.
+
+    cross: only pairs with different ``own``.  Pairs that are surely linked are told as
+    far as they join components; those at the threshold are told all.
+    """
+    m = len(sets)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    who = np.repeat(np.arange(m), [len(x) for x in sets])
+    more = np.bincount(at, minlength=len(values))[at] > 1  # what only one member has is in no intersection
+    _, at = np.unique(at[more], return_inverse=True)
+    who = who[more]
+    both = np.zeros((m, m), np.int32)  # the upper triangle
+    wide = max(64, (1 << 25) // m // 64 * 64)
+    for low in range(0, int(at.max()) + 1 if len(at) else 0, wide):
+        part = (at >= low) & (at < low + wide)
+        has = np.zeros((m, min(wide, -(-(int(at.max()) + 1 - low) // 64) * 64)), bool)
+        has[who[part], at[part] - low] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        for i in range(m - 1):
+            both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1, dtype=np.int32)
+    n = np.array([len(x) for x in sets], np.int64)
+    other = n[:, None] + n[None, :]
+    near = np.triu(100 * (both + 2) >= percent * (other - both - 2), 1) & (comp[:, None] != comp[None, :])
+    if cross:
+        near &= own[:, None] != own[None, :]
+    sure = near & (100 * (both - 2) >= percent * (other - both + 2))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for i, j in np.argwhere(sure).tolist():
+        a, b = find(int(comp[i])), find(int(comp[j]))
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out + [tuple(x) for x in np.argwhere(near & ~sure).tolist()]
+
+
+def between(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link the components of a bucket.
+
+    The members of a bucket are compared in blocks of about BLOCK, each block with each,
+    so no task holds more than two blocks and no pair becomes a row unless it links.
+    """
+    sets = materialise(short_sets(texts_of(texts, materialise(members.select("rep").distinct(), "wanted")), size), "sets")
+    number = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), number).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1)))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") != F.col("other")).alias("cross"), "own", "rep", "comp")
+    rows = dealt.join(sets, "rep").select("block", "cross", "own", "rep", "comp", "set").repartition("block").sortWithinPartitions("block", "rep")
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            reps = [r[3] for r in held]
+            pairs = block_links(np.array([r[4] for r in held]), np.array([r[2] for r in held]), [np.frombuffer(r[5], np.uint32) for r in held], any(r[1] for r in held), percent)
+            ends = [sorted((reps[i], reps[j])) for i, j in pairs]
+            return pa.record_batch({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield found()
+                    held = []
+                held.append(row)
+        if held:
+            yield found()
+
+    return in_arrow(rows, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,25 +415,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     share = percent / 100
     sketches = materialise(sketch(docs, shingle_words, id_col, text_col), "sketches")
     some = sketches.where("doc is not null and n > 0")
-    reps = materialise(some.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    sets = materialise(some.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys")), "classes")
+    reps = sets.drop("keys")
 
-    keyed = band_keys(reps)
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    keyed = materialise(keyed.join(hubs, "key"), "bands")
-    stars = keyed.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    keyed = band_keys(sets)
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(keyed.join(full, "key").withColumn("comp", F.col("rep")), "bands")
+    all_texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(likely(pairs, reps, share), "likely")
+        pairs = materialise(pairs, "pairs")
         wanted = materialise(union(pairs.select(F.col("a").alias("rep")), pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
-        # Up to WANTED ids (16 bytes each) are sent to each executor, which saves a shuffle of all texts.
-        few = wanted.count() <= WANTED
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
+        texts = texts_of(all_texts, wanted)
         return materialise(verify(pairs, texts, shingle_words, percent), "linked")
 
-    first = linked(stars)
-    rest = linked(open_pairs(keyed.select("rep", "key", "band"), components(first)))
-    comps = components(union(first, rest))
-    classes = label(reps.select("digest", "rep"), comps, "rep", "component_id")
+    classes = reps.select("digest", "rep").withColumn("component_id", F.col("rep"))
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        """Join the components of linked pairs; returns the new component of each that was joined."""
+        nonlocal classes
+        links = linked(pairs)
+        comp_of = members.select("rep", "comp").distinct()
+        ends = links.join(comp_of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp_of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+        comps = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        classes = label(classes, comps, "component_id", "component_id")
+        return comps
+
+    # Stars around changing hubs join most of what belongs together at a pair a document ...
+    open_n = members.count()
+    for turn in range(TURNS):
+        if not open_n:
+            break
+        members = open_buckets(label(members, merge(likely(stars(members, turn), reps, share)), "comp", "comp"))
+        before, open_n = open_n, members.count()
+        if open_n > (1 - CLOSED) * before:
+            break
+    # ... so that what is left between components is compared in blocks.
+    if open_n:
+        merge(between(members, all_texts, shingle_words, percent))
 
     named = some.select("doc", "n", "digest").join(classes, "digest").drop("digest")
     alone = sketches.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("component_id"))
