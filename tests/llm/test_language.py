@@ -77,3 +77,34 @@ def test_more_languages_than_a_byte(spark):
 def test_fold():
     assert "".join(map(chr, fold("A1b  ÉCOLE!ẞΣ"))) == " a b école ßσ "
     assert len(grams(fold("")) ) == 0
+
+
+def large_script(n, seed):
+    """Texts of a language with thousands of characters, words of which few are frequent, and no blanks."""
+    lexicon, rng = np.random.default_rng(7), np.random.default_rng(seed)
+    rank = np.arange(1, 8001)
+    weight = 1 / rank / (1 / rank).sum()
+    words = ["".join(chr(0x4E00 + min(int(x), 4000)) for x in lexicon.zipf(1.2, 1 + k % 3) % 4001) for k in range(8000)]
+    return ["\u3002".join("".join(words[w] for w in rng.choice(8000, 12, p=weight)) for _ in range(20)) for _ in range(n)]
+
+
+def test_languages_of_large_scripts_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(10_000 + k, t, "zh") for k, t in enumerate(large_script(150, 1))]
+    model = fit(docs.union(spark.createDataFrame(rows, docs.schema)))
+    fresh = large_script(60, 2)
+    shares = [model.judge(t)[2] for t in fresh]
+    assert sum(s < 0.5 for s in shares) > 30  # one bound for all would drop these
+    assert all(model.judge(t)[0] == "zh" for t in fresh)
+    new = spark.createDataFrame([(k, t) for k, t in enumerate(fresh)], "doc_id long, text string")
+    assert keep_identified(new, model).count() == len(fresh)
+    assert keep_identified(spark.createDataFrame(rows, docs.schema), model).count() == len(rows)
+    # The other languages have the bound that they had, and other scripts and noise still go.
+    assert all(b == 0.5 for lang, b in model.bounds.items() if lang != "zh") and 0.05 <= model.bounds["zh"] < 0.5
+    assert not any(map(model.keeps, ["Съешь же ещё этих мягких французских булок да выпей чаю", "xqzj wvkq zzxj qqwx vjkz xkcd qzvx"]))
+
+
+def test_mislabelled_texts_do_not_lower_the_bound(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    wrong = docs.where("lang = 'de'").withColumn("lang", F.lit("fr")).limit(8)
+    assert fit(docs.union(wrong)).bounds["fr"] == 0.5

@@ -14,6 +14,14 @@ different texts are taken (by a hash of the text, so the sample does not depend
 layout or ids).  Counting is distributed; the driver gets ``top`` n-grams a language.
 The number of languages is bounded by ``MAX_LANGUAGES``, which is checked.
 
+``top`` n-grams are nearly all of a language with a small alphabet, but far from all of
+one with thousands of characters.  So how much of a text its language has to contain is
+learned too: for each text of the sample the share that the language's kept n-grams
+would contain without that text is taken, and the bound of the language is ``MARGIN`` of
+the low end (``LOW``) of these shares, ``COVERED`` at most and ``LEAST_COVERED`` at least.
+Texts that are labelled with another language than they are judged to be have no say.
+A language of fewer than ``FEW`` such texts takes the shares with the text itself.
+
 Cases: a null text or one without a letter is ``und`` with score 0; if no n-gram is
 known, the most frequent language of the training rows is taken with score 0; ties go
 to the more frequent language, then by name; rows without lang train nothing; without
@@ -29,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filter_rows, in_arrow, map_arrow, text_batches
+from .shared import filter_rows, in_arrow, map_arrow, materialise, text_batches
 
 SIZES = (2, 3, 4)
 #: Parameters of the fit: the sample of each language, and the n-grams kept of it.
 TRAIN_DOCS, TOP = 2000, 6000
 SLOT_BITS, PROBES, MAX_LANGUAGES = 17, 2, 4096
 UND = "und"
-#: Share of its n-grams that a text's language has to contain; texts of a learned language have 0.85 and more.
-COVERED = 0.5
+#: Share of its n-grams that a text's language has to contain at most; what texts of another script have by chance is below the least.
+COVERED, LEAST_COVERED = 0.5, 0.05
+#: A language's bound is MARGIN of the quantile LOW of what its own texts have; with FEW texts or more, of each by what the others have.
+MARGIN, LOW, FEW = 0.6, 0.01, 10
 
 #: Lower-cased code points below this are looked up; the others are kept as they are.
 _LOW = 0x600
@@ -93,6 +103,8 @@ class Filters:
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
         self.languages = languages
+        #: The share of its n-grams that a text of each language has to have.
+        self.bounds = dict.fromkeys(languages, COVERED)
         self.width = -(-len(languages) // 8) or 1
         self.table = np.zeros((1 << SLOT_BITS, self.width), np.uint8)
         for k, hashes in enumerate(members):
@@ -130,13 +142,51 @@ class Filters:
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.judge(text)[:2]
 
+    def keeps(self, text: str | None, covered: float = COVERED) -> bool:
+        """Whether the text is in a learned language: it has the language's bound, or ``covered`` where that is less."""
+        lang, _, share = self.judge(text)
+        return lang != UND and share >= min(covered, self.bounds[lang])
+
 
 def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(4)) == 2
 
 
-def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Filters:
-    """From rows with text and lang; those with a null in either are left out."""
+def learn_bounds(sample: DataFrame, model: Filters, kept: dict[str, tuple[np.ndarray, np.ndarray]], top: int) -> dict[str, float]:
+    """The bound of each language from the texts of the sample; kept has n-grams and their counts."""
+    known = {}
+    for lang, (h, n) in kept.items():
+        order = np.argsort(h)
+        # How often an n-gram may be left out until it is no longer kept.
+        spare = n[order] - (n.min() if len(n) >= top else 1)
+        known[lang] = h[order], np.minimum(spare, 0xFFFF).astype(np.uint16)
+    shared = sample.sparkSession.sparkContext.broadcast((model, known))
+
+    def make():
+        judge, parts = shared.value
+
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = grams(fold(text))
+                if not len(h) or lang not in parts or judge.languages[int(np.argmax(judge.members(h)))] != lang:
+                    continue
+                own, spare = parts[lang]
+                u, n = np.unique(h, return_counts=True)
+                at = np.minimum(np.searchsorted(own, u), len(own) - 1)
+                hit = own[at] == u
+                out.append((lang, n[hit].sum() / len(h), n[hit & (n <= spare[at])].sum() / len(h)))
+            return pa.record_batch({"lang": pa.array([x[0] for x in out], pa.string()), "whole": pa.array([x[1] for x in out], pa.float64()), "others": pa.array([x[2] for x in out], pa.float64())})
+
+        return f
+
+    low = lambda c: F.percentile(c, F.lit(LOW))
+    found = map_arrow(sample.select("lang", "text"), make, "lang string, whole double, others double").groupBy("lang").agg(F.when(F.count("*") >= FEW, low("others")).otherwise(low("whole")).alias("low"))
+    return {r["lang"]: max(LEAST_COVERED, min(COVERED, MARGIN * r["low"])) for r in found.collect()}
+
+
+def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, bounds: bool = True) -> Filters:
+    """From rows with text and lang; those with a null in either are left out.  Bounds are for ``keep_identified``."""
     rows = rows.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
@@ -148,9 +198,11 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Filter
     draw = F.pmod(F.xxhash64("text"), F.lit(scale))
     # Copies are drawn together, so of each text one stays: a large group can't break the bound.
     sample = rows.where(draw < F.element_at(rate, F.col("lang"))).select("lang", "text").distinct()
+    if bounds:  # it is read twice
+        sample = materialise(sample, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, 4096):
+        for b in text_batches(batches, 4096, 1 << 20):  # the n-grams of a text take some 70 times its bytes
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(fold(text)))
@@ -162,10 +214,13 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Filter
 
     summed = in_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = summed.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).select("lang", "gram").toPandas()
+    kept = summed.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).select("lang", "gram", "n").toPandas()
     languages = [r["lang"] for r in counts]
-    by = {k: g["gram"].to_numpy(np.int64).view(np.uint64) for k, g in kept.groupby("lang")}
-    return Filters(languages, [by.get(k, np.zeros(0, np.uint64)) for k in languages])
+    by = {k: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(np.int64)) for k, g in kept.groupby("lang")}
+    model = Filters(languages, [by[k][0] if k in by else np.zeros(0, np.uint64) for k in languages])
+    if bounds:
+        model.bounds |= learn_bounds(sample, model, by, top)
+    return model
 
 
 def identify(docs: DataFrame, filters: Filters, columns: list[str]) -> DataFrame:
@@ -191,14 +246,14 @@ def identify(docs: DataFrame, filters: Filters, columns: list[str]) -> DataFrame
 def keep_identified(docs: DataFrame, filters: Filters, covered: float = COVERED) -> DataFrame:
     """The rows of docs, all columns as they are, that are in a learned language.
 
-    What has no letter goes, and what is in another language or none: then no language
-    contains ``covered`` of the text's n-grams.
+    What has no letter goes, and what is in another language or none: then the likeliest
+    language contains less of the text's n-grams than its bound, which is at most ``covered``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def make():
         model = shared.value
-        return lambda texts: [lang != UND and share >= covered for lang, _, share in map(model.judge, texts)]
+        return lambda texts: [model.keeps(t, covered) for t in texts]
 
     return filter_rows(docs, make)
 
@@ -206,5 +261,5 @@ def keep_identified(docs: DataFrame, filters: Filters, covered: float = COVERED)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out(F.col("doc_id"))
-    model = fit(docs.where(F.coalesce(~out, F.lit(True))))
+    model = fit(docs.where(F.coalesce(~out, F.lit(True))), bounds=False)
     return identify(docs, model, ["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
