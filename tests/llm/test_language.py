@@ -108,3 +108,16 @@ def test_mislabelled_texts_do_not_lower_the_bound(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
     wrong = docs.where("lang = 'de'").withColumn("lang", F.lit("fr")).limit(8)
     assert fit(docs.union(wrong)).bounds["fr"] == 0.5
+
+
+def test_copies_do_not_starve_the_sample(spark):
+    """A language with few different texts, of which one is copied very often, trains with all of them."""
+    letters = "abcdefghijklm"
+    word = lambda k, n: "".join(letters[(k * 7 + j * (n + 3)) % 13] for j in range(4))
+    texts = [" ".join(word(k, n) + "nopqrstuvwxyz"[k % 13] for n in range(10)) + f" {letters[k % 13]}{letters[k // 13]}zq" for k in range(60)]
+    rows = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    copies = spark.range(20_000).select(F.lit(texts[0]).alias("text"), F.lit("aa").alias("lang"))
+    other = spark.createDataFrame([("съешь же ещё этих мягких булок", "bb")], "text string, lang string")
+    plain, copied = fit(rows.union(other), 100, bounds=False), fit(rows.union(copies).union(other), 100, bounds=False)
+    assert (plain.table == copied.table).all()
+    assert all(copied.judge(t)[0] == "aa" and copied.judge(t)[2] > 0.9 for t in texts)

@@ -11,7 +11,8 @@ share among all languages' members.
 
 Training reads text and lang only; of each language at most about ``train_docs``
 different texts are taken (by a hash of the text, so the sample does not depend on
-layout or ids).  Counting is distributed; the driver gets ``top`` n-grams a language.
+layout or ids; the rate follows the number of different texts, so copies thin nothing
+out).  Counting is distributed; the driver gets ``top`` n-grams a language.
 The number of languages is bounded by ``MAX_LANGUAGES``, which is checked.
 
 ``top`` n-grams are nearly all of a language with a small alphabet, but far from all of
@@ -188,14 +189,16 @@ def learn_bounds(sample: DataFrame, model: Filters, kept: dict[str, tuple[np.nda
 def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, bounds: bool = True) -> Filters:
     """From rows with text and lang; those with a null in either are left out.  Bounds are for ``keep_identified``."""
     rows = rows.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    hashed = F.xxhash64("text")
+    texts = rows.groupBy("lang", hashed.alias("text_hash")).agg(F.count("*").alias("n"))
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("count"), F.count("*").alias("texts")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in lang")
     if not counts:
         return Filters([], [])
     scale = 1 << 24
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, -(-train_docs * scale // r["count"]))))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(scale))
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, -(-train_docs * scale // r["texts"]))))])
+    draw = F.pmod(hashed, F.lit(scale))
     # Copies are drawn together, so of each text one stays: a large group can't break the bound.
     sample = rows.where(draw < F.element_at(rate, F.col("lang"))).select("lang", "text").distinct()
     if bounds:  # it is read twice
