@@ -6,7 +6,8 @@ again, and each but the last returns the columns of ``documents``:
 1. ``language``: documents whose language can't be identified go: those without a
    letter, and those of which no learned language contains enough of the n-grams: half,
    or less where the language's own texts have less (``language.Filters.bounds``).  The
-   model is fitted on the stage's own input.
+   model is fitted on the stage's own input; if no row of it has a language, all
+   documents with a letter stay.
 2. ``near_dedup``: of each group of near copies (five-word shingles, Jaccard similarity
    of 0.8 or more) the document with the least id stays.
 3. ``decontaminate``: documents with a passage of the benchmark go.

@@ -60,6 +60,18 @@ def test_edge_cases_go_through(spark, sf, tmp_path):
         assert now.where(F.col("doc_id").isin(4, 5, 6, 12)).count() == 0
 
 
+def test_without_any_language(spark, sf):
+    """Nothing is learned, so stage 1 drops what has no letter and nothing else."""
+    docs = cases.docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    left = dict(cp.STAGES)["language"](spark, docs, sf)
+    assert left.columns == docs.columns
+    wanted = sorted(r[0] or 0 for r in cases.ROWS if any(map(str.isalpha, r[1] or "")))
+    assert sorted(r["doc_id"] or 0 for r in left.select("doc_id").collect()) == wanted
+    # Nor is anything learned from texts without a letter.
+    only = docs.withColumn("lang", F.when(F.col("doc_id") == 12, "en"))
+    assert dict(cp.STAGES)["language"](spark, only, sf).count() == len(wanted)
+
+
 def test_registered():
     found = entry.queries()
     assert found["pipeline"] is cp.run and set(queries.QUERIES) <= set(found)

@@ -26,7 +26,8 @@ A language of fewer than ``FEW`` such texts takes the shares with the text itsel
 Cases: a null text or one without a letter is ``und`` with score 0; if no n-gram is
 known, the most frequent language of the training rows is taken with score 0; ties go
 to the more frequent language, then by name; rows without lang train nothing; without
-any training row everything is ``und``; texts are read whole; other columns aren't read.
+any training row everything is ``und`` and ``keep_identified`` keeps every text with a
+letter; texts are read whole; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -104,6 +105,8 @@ class Filters:
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
         self.languages = languages
+        #: Whether there is any n-gram to judge by.
+        self.learned = any(map(len, members))
         #: The share of its n-grams that a text of each language has to have.
         self.bounds = dict.fromkeys(languages, COVERED)
         self.width = -(-len(languages) // 8) or 1
@@ -144,7 +147,12 @@ class Filters:
         return self.judge(text)[:2]
 
     def keeps(self, text: str | None, covered: float = COVERED) -> bool:
-        """Whether the text is in a learned language: it has the language's bound, or ``covered`` where that is less."""
+        """Whether the text is in a learned language: it has the language's bound, or ``covered`` where that is less.
+
+        Where nothing was learned there is nothing to judge by, and every text with a letter is kept.
+        """
+        if not self.learned:
+            return has_letter(text or "")
         lang, _, share = self.judge(text)
         return lang != UND and share >= min(covered, self.bounds[lang])
 
@@ -251,6 +259,7 @@ def keep_identified(docs: DataFrame, filters: Filters, covered: float = COVERED)
 
     What has no letter goes, and what is in another language or none: then the likeliest
     language contains less of the text's n-grams than its bound, which is at most ``covered``.
+    If nothing was learned (lang is null in every row), every text with a letter stays.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
