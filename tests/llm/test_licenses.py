@@ -127,3 +127,16 @@ def test_cases(spark):
     assert scan_licenses(cases.empty(spark)).count() == 0
     with pytest.raises(ValueError):
         scan_licenses(cases.docs(spark), {"x": "y" * (lic.TEMPLATE_BYTES + 1)})
+
+
+def test_short_templates_are_found_in_long_texts():
+    rng = random.Random(5)
+    known = {"mit": "MIT License", "mit-the": "The MIT License", "one": "Unlicense", "same": "mit license", "long": TEMPLATES["MIT"]}
+    scanner = Scanner(known)
+    text = f"{noise(rng, 40)} the MIT-License. {noise(rng, 3)}, mit  license; unlicense {noise(rng, 20)}"
+    got = scanner.scan(text)
+    assert [(n, c, " ".join(words(text.encode()[a:b].decode()))) for n, c, a, b in got] == [("mit-the", 1.0, "the mit license"), ("mit", 1.0, "mit license"), ("one", 1.0, "unlicense")]
+    assert [g[0] for g in scanner.scan("MIT License")] == ["mit"] and scanner.scan("MIT") == scanner.scan("the license of mit") == []
+    # What stands in a longer template's match is part of it.
+    inner = Scanner({"long": TEMPLATES["MIT"], "inner": " ".join(words(TEMPLATES["MIT"])[20:23])})
+    assert [g[0] for g in inner.scan(f"x {TEMPLATES['MIT']} y")] == ["long"]

@@ -20,9 +20,13 @@ containment, then the shorter, then the first.
 Templates are a parameter (name to text), sent to executors up to ``TEMPLATE_BYTES``,
 which is checked.
 
-Cases: null and empty texts, and texts without a word, have no match; a template of
-fewer than 5 words is one shingle, an empty one is left out; of equal templates the
-first name is told;
+A template of fewer than 5 words is one short shingle.  Texts are hashed in the lengths
+that such templates have too, and each run of exactly its words is a match; where these
+overlap each other the longer stays, then the first, and none stays in the words of a
+match of a longer template.
+
+Cases: null and empty texts, and texts without a word, have no match; an empty template
+is left out; of equal templates the first name is told;
 repeated rows are rows of their own; an empty table gives an empty result; other columns
 are not read.
 """
@@ -159,10 +163,15 @@ class Scanner:
         self.seeds = _seeds(bands * rows)
         self.names, self.sets, self.sizes = [], [], []
         by_class: dict[int, list[tuple[np.ndarray, int]]] = {c: [] for c in CLASSES}
+        #: Templates of fewer words than a shingle has: by their number of words, names by hash.
+        self.short: dict[int, dict[int, str]] = {}
         for name, text in sorted(templates.items()):
             w, _, _ = words(text)
             if not len(w):
                 continue
+            if len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(int(shingles(w)[0]), name)
+                continue
             k = len(self.names)
             self.names.append(name)
             self.sets.append(np.unique(shingles(w)))
@@ -241,8 +250,26 @@ class Scanner:
         run = min(SHINGLE, len(w))
         found = [(-n, -c, b - a, a, b, self.names[k]) for k in self.candidates(s) for n, c, a, b in self.stretches(s, k)]
         kept = SortedSpans()
-        out = [(name, -c, int(begin[a]), int(end[b + run - 1])) for _, c, _, a, b, name in sorted(found) if kept.add(a, b)]
-        return sorted(out, key=lambda x: x[2])
+        whole = [(name, -c, a, b + run) for _, c, _, a, b, name in sorted(found) if kept.add(a, b)]
+        whole += self.short_matches(w, whole)
+        return sorted(((name, c, int(begin[a]), int(end[b - 1])) for name, c, a, b in whole), key=lambda x: x[2])
+
+    def short_matches(self, w: np.ndarray, others: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        """(name, 1.0, first word, word behind the last) of each short template outside the words of other matches."""
+        out, taken = [], None
+        for n, names in sorted(self.short.items(), reverse=True):
+            if n > len(w):
+                continue
+            s = shingles(w, n)
+            for a in np.flatnonzero(np.isin(s, np.array(list(names), np.uint64))).tolist():
+                if taken is None:
+                    taken = np.zeros(len(w), bool)
+                    for _, _, x, y in others:
+                        taken[x:y] = True
+                if not taken[a : a + n].any():
+                    taken[a : a + n] = True
+                    out.append((names[int(s[a])], 1.0, a, a + n))
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
