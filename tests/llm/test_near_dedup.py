@@ -189,3 +189,19 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(nd, "_PIECE", 1000)
     assert (nd.text_words(cases.LONG) == whole).all()
     assert len(nd.text_words("x" * 5000 + " y")) == 2
+
+
+def test_collisions_of_very_long_texts_hide_no_link():
+    """In 32 bits a pair just below the threshold comes out above it; it must not stand for the true link beside it."""
+    u = 1_000_000
+    h = np.unique(np.random.default_rng(3).integers(0, 1 << 64, u + 10, dtype=np.uint64))[:u]
+    h = np.random.default_rng(4).permutation(h)
+    both = u * 8 // 10 - 1
+    half = (u - both) // 2
+    long = [h[: both + half], np.concatenate([h[:both], h[both + half :]])]
+    assert 100 * both < 80 * u
+    sets = [np.unique(x.astype(np.uint32)) for x in (*long, h[:500], h[:500])]
+    short_both = len(np.intersect1d(sets[0], sets[1]))
+    assert 100 * (short_both - 2) >= 80 * (len(sets[0]) + len(sets[1]) - short_both + 2)  # the old tolerance takes it for sure
+    found = nd.block_links(np.array([1, 2, 1, 2]), np.zeros(4, int), sets, False, 80)
+    assert (2, 3) in found

@@ -337,7 +337,9 @@ def block_links(comp: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross
     """Of the members of a block, pairs that link its components as far as their short sets tell.
 
     cross: only pairs with different ``own``.  Pairs that are surely linked are told as
-    far as they join components; those at the threshold are told all.
+    far as they join components; those at the threshold are told all.  Of u shingles
+    about u * u / 2^33 fall together in 32 bits (a Poisson number, so six deviations
+    more are allowed for): by as many the counts of a pair can be off.
     """
     m = len(sets)
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -355,11 +357,16 @@ def block_links(comp: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross
         for i in range(m - 1):
             both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1, dtype=np.int32)
     n = np.array([len(x) for x in sets], np.int64)
-    other = n[:, None] + n[None, :]
-    near = np.triu(100 * (both + 2) >= percent * (other - both - 2), 1) & (comp[:, None] != comp[None, :])
-    if cross:
-        near &= own[:, None] != own[None, :]
-    sure = near & (100 * (both - 2) >= percent * (other - both + 2))
+    near, sure = np.zeros((m, m), bool), np.zeros((m, m), bool)
+    for i in range(m - 1):  # by rows, as a whole table of 64-bit numbers is large
+        shared, apart = both[i, i + 1 :].astype(np.int64), comp[i + 1 :] != comp[i]
+        if cross:
+            apart &= own[i + 1 :] != own[i]
+        rest = n[i] + n[i + 1 :] - shared
+        fall = rest.astype(np.float64) ** 2 / 2.0**33
+        off = 2 + (fall + 6 * np.sqrt(fall)).astype(np.int64)
+        near[i, i + 1 :] = apart & (100 * (shared + off) >= percent * (rest - off))
+        sure[i, i + 1 :] = near[i, i + 1 :] & (100 * (shared - off) >= percent * (rest + off))
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
