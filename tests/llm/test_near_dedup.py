@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.compare import duck, same
 from tests.llm import cases
 from tidelog.llm import near_dedup as nd
+from tidelog.session import union
 
 
 def words(text):
@@ -205,3 +207,14 @@ def test_collisions_of_very_long_texts_hide_no_link():
     assert 100 * (short_both - 2) >= 80 * (len(sets[0]) + len(sets[1]) - short_both + 2)  # the old tolerance takes it for sure
     found = nd.block_links(np.array([1, 2, 1, 2]), np.zeros(4, int), sets, False, 80)
     assert (2, 3) in found
+
+
+def test_copies_without_an_id_stay_once(spark):
+    docs = cases.clashing(spark)
+    nulls = docs.where("doc_id is null")
+    upper = nulls.withColumn("text", F.upper("text"))  # the same shingles
+    got = nd.keep_one(union(docs, nulls, nulls, upper), 5)
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    assert sorted((r["text"] or "").lower() for r in got.where("doc_id is null and text is not null").collect()) == [cases.BASE]
+    assert got.where("doc_id is null and text is null").count() == 4  # no text, no copy
+    assert got.where("doc_id is not null").count() == nd.keep_one(docs, 5).where("doc_id is not null").count()

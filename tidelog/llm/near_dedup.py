@@ -198,18 +198,23 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((equal - by_chance) / rest, 0, 1), used
 
 
+def set_digest(h: np.ndarray) -> bytes | None:
+    """A digest of a set of shingle hashes; none of the empty set."""
+    import hashlib
+
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+
+
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """doc, n (set size), digest (of the set), regs (kept registers) and keys (of bands) of each row."""
 
     def make():
-        import hashlib
-
         def one(text: str | None) -> tuple:
             h = shingles(text, size)
             if not len(h):
                 return 0, None, None, None
             regs = registers(h)
-            return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), regs[:KEPT].tobytes(), bands(regs).view(np.int64)
+            return len(h), set_digest(h), regs[:KEPT].tobytes(), bands(regs).view(np.int64)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             n, digest, regs, keys = zip(*map(one, b.column(1).to_pylist()), strict=True)
@@ -467,11 +472,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("rep").alias("class_id"))
 
 
+def one_of_equals(rows: DataFrame, size: int, text_col: str) -> DataFrame:
+    """The rows, all columns as they are, but of those with equal shingle sets one; what has no shingles stays."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    names, at = rows.columns, rows.columns.index(text_col)
+    plain = rows.toDF(*[f"c{k}" for k in range(len(names))])
+    plain_names = plain.columns
+    schema = StructType([*plain.schema.fields, StructField("digest", BinaryType())])
+
+    def make():
+        return lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array([set_digest(shingles(t, size)) for t in b.column(at).to_pylist()], pa.binary())], [*plain_names, "digest"])
+
+    told = map_arrow(plain, make, schema)
+    order = F.struct(*[f"c{names.index(c)}" for c in (text_col, "lang", "source", "n_chars") if c in names])
+    # Taken by partial aggregates, so many copies of one text don't meet in one task.
+    once = told.where("digest is not null").groupBy("digest").agg(F.min_by(F.struct(*plain_names), order).alias("r")).select("r.*")
+    return union(once, told.where("digest is null").drop("digest")).toDF(*names)
+
+
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, of the one document that stays of each component.
 
-    Rows of one id stay or go together, but of those with equal text one stays; rows
-    with a null id stay.
+    Rows of one id stay or go together, but of those with equal text one stays.  Rows
+    with a null id are compared by their shingle sets with each other only: of those with
+    equal sets one stays, also where a row with an id is equal to it.
     """
     from pyspark.sql import Window
 
@@ -482,7 +507,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     # The join has dealt the rows by id, so this needs no further shuffle.
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[c for c in ("lang", "source", "n_chars") if c in docs.columns] or [id_col])
     once = joined.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
-    return union(once, docs.where(F.col(id_col).isNull()))
+    return union(once, one_of_equals(docs.where(F.col(id_col).isNull()), shingle_words, text_col))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
