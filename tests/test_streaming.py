@@ -1,15 +1,21 @@
 """Subscriptions over real streams, and sessions by themselves."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidelog.errors import InvalidState
+from tidelog.functions import Expected
 from tidelog.plans.projection import Projection, consumer_events, route
-from tidelog.streaming.runner import ABORT, CATCHING_UP, LIVE, RETRY, RUNNING, SKIP, STOPPED, SUSPENDED, UNSUBSCRIBED, CheckpointFrequency, Consumer, Interceptor, Session, Subscription, intercepted, least_start, on
+from tidelog.sources.store import EventStore
+from tidelog.streaming import ModelConsumer, ReadModel
+from tidelog.streaming import model as model_module
+from tidelog.streaming.runner import ABORT, CATCHING_UP, LIVE, RETRY, RUNNING, SERVER_ERROR, SKIP, STOPPED, SUSPENDED, UNSUBSCRIBED, CheckpointFrequency, Consumer, Interceptor, Session, Subscription, intercepted, least_start, on
 from tidelog.streaming.source import read_log_stream
+from tidelog.streaming.stateful import run_available
 
 SCHEMA = "stream_name string, stream_position long, global_position long, name string, payload string"
 
@@ -253,3 +259,209 @@ def test_subscription(spark, tmp_path):
 def test_no_consumers(spark, tmp_path):
     with pytest.raises(ValueError):
         Subscription(spark, lambda after: None, [], str(tmp_path))
+
+
+class Slow(Consumer):
+    """Checkpoints far apart, in a table of its own."""
+
+    name = "slow"
+    catch_up = CheckpointFrequency(events=1000)
+
+    def __init__(self, saved):
+        self.saved, self.got = saved, []
+
+    def on_restore(self):
+        return self.saved.get("at")
+
+    def on_event(self, e):
+        self.got.append(e["global_position"])
+        return "processed"
+
+    def on_checkpoint(self, position):
+        self.saved["at"] = position
+
+
+def test_restart_begins_behind_the_consumers_checkpoint(spark, tmp_path):
+    """What was handled after the last checkpoint of a lost process is handled again."""
+    path, saved = str(tmp_path / "log"), {}
+    write(spark, path, 0, 20)
+    made = lambda: Subscription(spark, lambda after: read_log_stream(spark, path, SCHEMA, after, most=7), [Slow(saved)], str(tmp_path / "offsets"))
+    lost = made()
+    lost.start()
+    lost.flush()
+    assert lost.sessions["slow"].consumer.got == list(range(20)) and saved == {}
+    lost._ended.set()
+    lost.query.stop()  # the process ends here: no checkpoint, no word to the consumer
+    again = made()
+    again.start()
+    again.catch_up()
+    assert again.sessions["slow"].consumer.got == list(range(20)) and saved == {"at": 19}
+    again.stop()
+    third = made()
+    write(spark, path, 20, 22)
+    third.start()
+    third.catch_up()
+    assert third.sessions["slow"].consumer.got == [20, 21]
+    third.stop()
+
+
+def store_of(spark, path, n):
+    store = EventStore(spark, str(path))
+    for _ in range(n):
+        store.append("s", [("a", "{}", None)] * 10, Expected.any())
+    return store
+
+
+def test_source_follows_commits(spark, tmp_path):
+    """Compaction between two batches repeats nothing, and what isn't committed isn't seen."""
+    store = store_of(spark, tmp_path / "store", 3)
+    folder, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    run = lambda: run_available(store.stream(most=8), lambda b, n: b.select("global_position").write.mode("append").parquet(folder), offsets)
+    seen = lambda: sorted(r[0] for r in spark.read.parquet(folder).collect())
+    run()
+    assert seen() == list(range(30))
+    store.compact()
+    spark.createDataFrame([event(99)], SCHEMA).write.parquet(f"{store.path}/data/uncommitted")
+    run()
+    assert seen() == list(range(30))
+    store.append("s", [("a", "{}", None)] * 5, Expected.any())
+    run()
+    assert seen() == list(range(35))
+    with pytest.raises(Exception, match="a part of a store"):
+        run_available(read_log_stream(spark, f"{store.path}/data", SCHEMA), lambda b, n: None, str(tmp_path / "other"))
+
+
+def test_stream_over_a_store_without_commits(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"))
+    assert store.head() is None
+    seen = []
+    run_available(store.stream(), lambda b, n: seen.append(b.count()), str(tmp_path / "offsets"))
+    assert sum(seen) == 0
+
+
+def test_one_scan_for_all_consumers(spark, tmp_path):
+    store, starts = store_of(spark, tmp_path / "store", 2), []
+
+    def stream(after):
+        starts.append(after)
+        return store.stream(after)
+
+    class Other(Seen):
+        name = "other"
+
+    one, two = Seen(start=11), Other(start=4)
+    sub = Subscription(spark, stream, [one, two], str(tmp_path / "offsets"), store.head)
+    sub.start()
+    sub.catch_up()
+    assert starts == [4] and one.got == list(range(12, 20)) and two.got == list(range(5, 20))
+    sub.stop()
+
+
+def test_falls_behind_and_catches_up(spark, tmp_path):
+    store = store_of(spark, tmp_path / "store", 1)
+    head = [None]
+    c = Seen()
+    c.on_fell_behind, c.on_caught_up = lambda: c.calls.append("behind"), lambda: c.calls.append("caught up")
+    sub = Subscription(spark, store.stream, [c], str(tmp_path / "offsets"), lambda: head[0] or store.head())
+    sub.start()
+    sub.catch_up()
+    sub.follow()
+    store.append("s", [("a", "{}", None)] * 3, Expected.any())
+    sub.flush()
+    head[0] = 50  # the log goes on faster than the subscription
+    wait(lambda: sub.phase == CATCHING_UP)
+    head[0] = None
+    wait(lambda: sub.phase == LIVE)
+    assert c.got == list(range(13)) and c.calls[-2:] == ["behind", "caught up"]
+    sub.stop()
+
+
+def wait(holds, seconds=30):
+    end = time.monotonic() + seconds
+    while not holds():
+        assert time.monotonic() < end
+        time.sleep(0.1)
+
+
+def test_checkpoint_by_time_without_more_events(spark, tmp_path):
+    store, c = store_of(spark, tmp_path / "store", 1), Seen()
+    c.catch_up = c.live = CheckpointFrequency(seconds=1.5)
+    sub = Subscription(spark, store.stream, [c], str(tmp_path / "offsets"))
+    sub.start()
+    wait(lambda: c.checkpoints == [9])
+    sub.stop()
+
+
+def test_a_broken_source_drops_its_consumers(spark, tmp_path):
+    store, c, told = store_of(spark, tmp_path / "store", 1), Seen(), []
+    c.on_dropped = lambda reason, error: told.append((reason, str(error)))
+    sub = Subscription(spark, store.stream, [c], str(tmp_path / "offsets"))
+    sub.start()
+    sub.catch_up()
+    sub.follow()
+    store.files.create(f"{store.path}/_commits/000000000001.json", "no JSON")
+    wait(lambda: told)
+    assert told[0][0] == SERVER_ERROR and sub.phase == UNSUBSCRIBED and sub.sessions["seen"].status == STOPPED
+    assert sub.status().first()["error"] == told[0][1]
+    sub.stop()
+
+
+def test_resumed_consumer_joins_the_others_again(spark, tmp_path):
+    store = store_of(spark, tmp_path / "store", 1)
+
+    class Broken(Seen):
+        name = "broken"
+        fail = True
+
+        @on("a")
+        def on_letter(self, e):
+            if self.fail and e["global_position"] == 4:
+                raise RuntimeError("at 4")
+            self.got.append(e["global_position"])
+
+    fine, broken = Seen(), Broken()
+    sub = Subscription(spark, store.stream, [fine, broken], str(tmp_path / "offsets"), store.head)
+    sub.start()
+    sub.catch_up()
+    sub.follow()
+    store.append("s", [("a", "{}", None)] * 5, Expected.any())
+    sub.flush()
+    assert fine.got == list(range(15)) and broken.got == list(range(4))
+    broken.fail = False
+    sub.resume("broken")
+    store.append("s", [("a", "{}", None)] * 5, Expected.any())
+    sub.flush()
+    assert fine.got == broken.got == list(range(20))
+    sub.stop()
+
+
+def cart(spark):
+    return Projection(("k",), ("at",)).upsert("put", k=F.col("stream_name"), at=F.col("global_position")).delete("drop", k=F.col("stream_name"))
+
+
+def test_model_moves_with_its_position(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(model_module, "MERGE", 3)
+    model = ReadModel(spark, cart(spark), str(tmp_path / "model"))
+    rows = [Row(stream_name=f"s{k % 5}", stream_position=k, global_position=k, name="drop" if k % 7 == 3 else "put", payload="{}") for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(ValueError):
+        model.rows()
+    for k in range(0, 60, 4):
+        assert model.apply(df.where(F.col("global_position").between(k, k + 3)))
+        assert not model.apply(df.where(F.col("global_position").between(k, k + 3)))  # comes again
+    assert not model.apply(df.where("name = 'other'"))
+    assert model.position() == 59 and sorted(model.rows().collect()) == sorted(cart(spark).apply(df).collect())
+    assert len(model._state()["parts"]) <= 6 and len(model.files.names(f"{model.folder}/parts")) < 15
+
+
+def test_model_consumer(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "store"))
+    for k in range(3):
+        store.append(f"s{k}", [("put", "{}", None), ("drop" if k == 1 else "x", "{}", None)], Expected.any())
+    model = ReadModel(spark, cart(spark), str(tmp_path / "model"))
+    for _ in range(2):  # a second run goes on where the model stands
+        sub = Subscription(spark, lambda after: store.stream(after, most=2), [ModelConsumer(model)], str(tmp_path / "offsets"))
+        sub.start()
+        sub.catch_up()
+        sub.stop()
+        assert sorted(tuple(r) for r in model.rows().collect()) == [("s0", 0), ("s2", 4)] and model.position() == 4

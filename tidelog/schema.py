@@ -32,6 +32,9 @@ APPEND_REQUEST = StructType([
     StructField("events", ArrayType(WRITABLE_EVENT), False),
 ])
 
+#: The last position of each stream.
+HEADS = StructType([StructField("stream_name", StringType(), False), StructField("version", LongType())])
+
 CHECKPOINTS = StructType([StructField("name", StringType(), False), StructField("position", LongType())])
 
 DEAD_LETTERS = StructType([*EVENT_LOG.fields, StructField("error", StringType())])

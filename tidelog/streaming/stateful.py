@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.projection import Projection
-from ..session import ship, union
+from ..session import ship
+from .model import ReadModel
 
 
 def gated_counter(events: DataFrame, guard: str, plus: str, minus: str, key: str = "stream_name", order: str = "stream_position") -> DataFrame:
@@ -54,33 +54,10 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 
 def stream_table(spark: SparkSession, stream: DataFrame, projection: Projection, folder: str) -> DataFrame:
-    """Run a projection over what a stream has; the read model is in ``folder``.
+    """Run a projection over what a stream has; the read model is in ``folder`` (see ``ReadModel``).
 
-    Each batch writes the model and the position it stands at as one new version
-    (``v{batch}``); a batch that is done again writes the same version anew, from the
-    same earlier one, so model and checkpoint move together.
+    On a folder that has a model already it goes on behind the model's position.
     """
-    schema: list = []
-
-    def version(batch: int) -> str:
-        return f"{folder}/v{batch:09d}"
-
-    def sink(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        done = projection.operations(batch)
-        if not schema:
-            schema.append(projection.latest(done).schema)
-        kept = own.read.schema(schema[0]).parquet(version(number - 1)) if number else own.createDataFrame([], schema[0])
-        projection.latest(union(kept, done)).write.mode("overwrite").parquet(version(number))
-        last[0] = number
-
-    last = [-1]
-    run_available(stream, sink, f"{folder}/_offsets")
-    if last[0] < 0:
-        raise ValueError("the stream had no batch")
-    return projection.rows(spark.read.schema(schema[0]).parquet(version(last[0])))
-
-
-def model_position(latest: DataFrame) -> DataFrame:
-    """The position that a model of ``Projection.latest`` stands at."""
-    return latest.agg(F.max("_at").alias("position"))
+    model = ReadModel(spark, projection, folder)
+    run_available(stream, lambda batch, number: model.apply(batch), f"{folder}/_offsets")
+    return model.rows()
