@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import duck, same
-from tidelog.plans import catalog
+from tidelog.plans import Count, Fold, KeyedSet, catalog
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,24 @@ def test_native_key_takes_one_shuffle(spark, sf):
 def test_name_filter_reaches_the_scan(spark, sf):
     plan = catalog.checkpoint_positions_(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_type" in plan
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["read_stream_forwards", "read_stream_backwards", "subscribe_stream"])
+def test_native_key_of_a_stream_reaches_the_scan(spark, sf, name):
+    assert "EqualTo(user_id," in planned(catalog.QUERIES[name](spark, sf))
+
+
+def test_snapshots_are_met_in_one_pass(spark, sf):
+    """A scan for the log and one for each fold that makes the snapshots; none of them is planned twice."""
+    plan = planned(catalog.load_prefer_snapshot(spark, sf))
+    assert plan.count("FileScan") == 3 and "Join" not in plan
+
+
+def test_a_set_takes_one_scan(spark, sf):
+    held = KeyedSet(catalog.item(), ("purchase",), ("error",))
+    plan = planned(Fold({"items": held, "n": Count("purchase")}, key="user_id").apply(catalog.log_of(spark, sf)))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1

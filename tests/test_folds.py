@@ -1,5 +1,7 @@
 """Every strategy equals the plain fold, and a snapshot with its tail equals the full replay."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from tidelog.operators.snapshots import PREFER_SNAPSHOT, USE_EVENT_STREAM, USE_SNAPSHOT, load_with_strategy, missing_snapshots, require_snapshots, take_snapshots
 from tidelog.errors import SnapshotDoesNotExist
 from tidelog.plans.fold import Count, Fold, Greatest, KeyedSet, LastValue, Least, Reducer, Steps, Total, reduce_rows, reduce_streams
-from tidelog.plans.numbering import running_number
+from tidelog.plans.numbering import running_number, running_total
 
 SCHEMA = "stream_name string, stream_position long, global_position long, name string, amount long"
 EVENTS = st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from(["start", "add", "remove", "other"]), st.one_of(st.none(), st.integers(-3, 3))), max_size=25)
@@ -135,3 +137,33 @@ def test_running_number(spark, positions):
     df = spark.createDataFrame([(p,) for p in positions], "global_position long")
     got = {r[0]: r["number"] for r in running_number(df, buckets=7).collect()}
     assert got == {p: k for k, p in enumerate(sorted(positions), 1)}
+
+
+def test_guard_of_long_streams(spark):
+    """The guard's position by a join is that by a window."""
+    rng = random.Random(4)
+    rows = [(f"s{s}", k, 100 * s + k, rng.choice("gab"), "{}") for s in range(8) for k in range(30)]
+    log = spark.createDataFrame(rows, "stream_name string, stream_position long, global_position long, name string, payload string")
+    for guard in ("g", "none"):
+        one, other = (Fold({"n": Total({"a": 1, "b": -1})}, guard=guard, started="started", long_streams=how).apply(log) for how in (False, True))
+        assert sorted(one.collect()) == sorted(other.collect())
+    plan = Fold({"n": Total({"a": 1})}, guard="g", long_streams=True).apply(log)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_running_total_with_an_outlier(spark):
+    df = spark.createDataFrame([(k, k % 5) for k in [*range(50), 2**62]], "id long, n long")
+    got = {r["id"]: r["before"] for r in running_total(df, "id", "n", "before", 7).collect()}
+    assert got == {k: sum(j % 5 for j in range(k)) for k in range(50)} | {2**62: 100}
+
+
+def test_scratch_tables_of_a_scope_go(spark):
+    from tidelog.scratch import materialise, scratch_scope
+
+    kept = []
+    with scratch_scope(lambda: kept):
+        first = materialise(spark.range(3), "one")
+        kept.append(materialise(first.where("id > 0"), "two"))
+    assert kept[0].count() == 2
+    with pytest.raises(Exception, match="does not exist|NOT_EXIST|PATH_NOT_FOUND"):
+        first.count()

@@ -292,3 +292,69 @@ def test_commands():
     assert any_.apply(Total(), Changed("x")).total == -1
     with pytest.raises(InvalidState):
         AggregateType(Changed).new()
+
+
+def files_read(df):
+    """Files that the scans of a plan open, and its plan."""
+    df.collect()
+    plan, todo, n = df._jdf.queryExecution().executedPlan(), [], 0
+    todo.append(plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan)
+    while todo:
+        node = todo.pop()
+        if "Stage" in node.getClass().getSimpleName() and "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        metrics = node.metrics()
+        if metrics.contains("numFiles"):
+            n += metrics.apply("numFiles").value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return n
+
+
+def many(spark, low, high):
+    at = F.col("id")
+    return spark.range(low, high).select(F.concat(F.lit("s"), at % 40).alias("stream_name"), F.floor(at / 40).alias("stream_position"), at.alias("global_position"), F.lit("n").alias("name"), F.lit("{}").alias("payload"), F.lit(None).cast("map<string,string>").alias("metadata"))
+
+
+def test_one_stream_opens_few_files(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "log"), buckets=16)
+    store.import_log(many(spark, 0, 4000))
+    store.import_log(many(spark, 4000, 8000))
+    assert store.head() == 7999
+    store.compact()
+    own = store.stream_log("s7")
+    assert own.count() == 200 and files_read(own) <= 4
+    assert len(own.inputFiles()) == len([f for f in own.inputFiles() if "/streams/" in f])
+    store.append("s7", events(1), Expected.at(199))
+    assert [r["stream_position"] for r in store.read_stream("s7", 198)] == [198, 199, 200]
+    assert {r["stream_name"]: r["version"] for r in store.heads().collect()} == {f"s{k}": 199 + (k == 7) for k in range(40)}
+    with pytest.raises(ValueError, match="not behind the head"):
+        store.import_log(many(spark, 8000, 8001))
+    assert store.import_log(many(spark, 0, 0)) == 0
+
+
+def test_an_append_reads_heads_and_not_the_log(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "log"))
+    store.import_log(many(spark, 0, 400))
+    asked = spark.createDataFrame([("s3",)], "stream_name string")
+    heads = store._heads(store.commits(), asked)
+    assert [tuple(r) for r in heads.collect()] == [("s3", 9)] and all("/heads/" in f for f in heads.inputFiles())
+
+
+def test_vacuum_and_replaced_checkpoints(store):
+    for _ in range(3):
+        store.append("s", events(2), Expected.any())
+    store.compact()
+    assert store.vacuum() == []  # too young
+    assert len(store.vacuum(older_than=-1)) == 6  # a batch and a table of heads of each append
+    assert store.log().count() == 6 and store.append("s", events(1), Expected.at(5)) == 6
+    for k in range(4):
+        store.save_checkpoint("c", k)
+    assert store.checkpoint("c") == 3 and len(store.files.names(f"{store.path}/_checkpoints/c")) == 1
+
+
+def test_many_requests_of_one_stream(spark):
+    """Each meets the head that the ones before have left; a task holds one head."""
+    asked = spark.range(3000).select(F.col("id").alias("request_id"), F.lit("s").alias("stream_name"), F.when(F.col("id") % 3 == 0, "version").otherwise("any").alias("expected_kind"), (F.col("id") - 1).alias("expected_version"), F.lit(1).cast("long").alias("n"))
+    out = decide_appends(asked, spark.createDataFrame([("s", -1)], "stream_name string, version long"))
+    assert out.where("accepted").count() == 3000 and out.agg(F.max("new_version")).first()[0] == 2999

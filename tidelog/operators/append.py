@@ -7,10 +7,14 @@ accepted requests their positions.  Committing them is the store's part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.numbering import running_number
+from ..plans.numbering import running_total
+from ..session import ship
 
 
 def conflict_message(stream: Column, kind: Column, version: Column, actual: Column | None = None) -> Column:
@@ -20,6 +24,27 @@ def conflict_message(stream: Column, kind: Column, version: Column, actual: Colu
     return F.concat(head, what, told)
 
 
+_OUTCOME = "request_id long, stream_name string, expected_kind string, expected_version long, n long, accepted boolean, actual long, first_position long, new_version long"
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stream, head = None, -1
+    for b in batches:
+        accepted, actual, first, new = [], [], [], []
+        for name, kind, version, n, known in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4, 5)), strict=True):
+            if name != stream:
+                stream, head = name, -1 if known is None else known
+            holds = not n or kind == "any" or head == (-1 if kind == "no_stream" else version)
+            accepted.append(holds)
+            actual.append(head if head >= 0 else None)
+            first.append(head + 1 if holds and n else None)
+            if holds and n:
+                head += n
+            new.append(head if holds and n else None)
+        longs = (pa.array(x, pa.int64()) for x in (actual, first, new))
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(accepted, pa.bool_()), *longs], ["request_id", "stream_name", "expected_kind", "expected_version", "n", "accepted", "actual", "first_position", "new_version"])
+
+
 def decide_appends(requests: DataFrame, heads: DataFrame) -> DataFrame:
     """The outcome of each request.
 
@@ -31,23 +56,11 @@ def decide_appends(requests: DataFrame, heads: DataFrame) -> DataFrame:
     empty) and ``message`` (of a rejected one).  An empty batch is accepted without a
     look at its expectation.  Requests of a stream take effect in request_id order.
     """
-    ordered = requests.groupBy("stream_name").agg(F.array_sort(F.collect_list(F.struct("request_id", "expected_kind", "expected_version", F.col("n").cast("long").alias("n")))).alias("_asked"))
-    met = ordered.join(heads.select("stream_name", F.col("version").cast("long").alias("_head")), "stream_name", "left")
-    outcome = "array<struct<request_id:bigint,expected_kind:string,expected_version:bigint,n:bigint,accepted:boolean,actual:bigint,first_position:bigint,new_version:bigint>>"
-    start = F.struct(F.coalesce(F.col("_head"), F.lit(-1).cast("long")).alias("head"), F.array().cast(outcome).alias("done"))
-
-    def decide(state: Column, r: Column) -> Column:
-        head = state["head"]
-        holds = F.when(r["n"] == 0, True).when(r["expected_kind"] == "any", True).when(r["expected_kind"] == "no_stream", head == -1).otherwise(F.coalesce(head == r["expected_version"], F.lit(False)))
-        writes = holds & (r["n"] > 0)
-        after = F.when(writes, head + r["n"]).otherwise(head)
-        said = F.struct(
-            r["request_id"].cast("long").alias("request_id"), r["expected_kind"].alias("expected_kind"), r["expected_version"].cast("long").alias("expected_version"), r["n"].alias("n"),
-            holds.alias("accepted"), F.when(head >= 0, head).alias("actual"), F.when(writes, head + 1).alias("first_position"), F.when(writes, after).alias("new_version"),
-        )
-        return F.struct(after.alias("head"), F.concat(state["done"], F.array(said).cast(outcome)).alias("done"))
-
-    decided = met.select("stream_name", F.inline(F.aggregate("_asked", start, decide)["done"]))
+    ship(requests.sparkSession)
+    asked = requests.select(F.col("request_id").cast("long").alias("request_id"), "stream_name", "expected_kind", F.col("expected_version").cast("long").alias("expected_version"), F.col("n").cast("long").alias("n"))
+    met = asked.join(heads.select("stream_name", F.col("version").cast("long").alias("_head")), "stream_name", "left").select(*asked.columns, "_head")
+    # Each head depends on the one before: rows pass once in order, and a task holds one head, however many requests a stream has.
+    decided = met.repartition("stream_name").sortWithinPartitions("stream_name", "request_id").mapInArrow(_decide, _OUTCOME)
     message = F.when(~F.col("accepted"), conflict_message(F.col("stream_name"), F.col("expected_kind"), F.col("expected_version"), F.col("actual")))
     return decided.select("request_id", "stream_name", "expected_kind", "expected_version", "n", "accepted", "actual", "first_position", "new_version", message.alias("message"))
 
@@ -66,16 +79,3 @@ def place_events(requests: DataFrame, outcomes: DataFrame, next_global: int) ->
         "stream_name", (F.col("first_position") + F.col("_k")).cast("long").alias("stream_position"), (F.lit(next_global) + F.col("_before") + F.col("_k")).cast("long").alias("global_position"),
         F.col("_e.name").alias("name"), F.col("_e.payload").alias("payload"), F.col("_e.metadata").alias("metadata"),
     )
-
-
-def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
-    """df with ``out``: the sum of ``amount`` over all rows of a smaller ``order`` (an integer without ties)."""
-    from pyspark.sql import Window
-
-    numbered = running_number(df, order, "_row")
-    bucket = F.floor((F.col("_row") - 1) / F.lit(1 << 16)).cast("int")
-    cut = numbered.withColumn("_b", bucket)
-    sums = cut.groupBy("_b").agg(F.sum(amount).alias("_s"))
-    before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("_in", inside).join(before, "_b").withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_row", "_b", "_in", "_base")

@@ -1,24 +1,30 @@
 """Reads of single streams and of the whole log.
 
 All are filters on columns of the log, so they reach the scan: a log that lies in
-``global_position`` order skips row groups by their statistics.
+``global_position`` order skips row groups by their statistics.  A log that is a view of
+a table makes stream names from a key of its own; where a read is given that key as
+``native`` (a predicate on it), the read reaches the table's scan below the view's window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 FORWARDS, BACKWARDS = "forwards", "backwards"
 
 
-def read_stream(log: DataFrame, stream: str, position: int = 0, direction: str = FORWARDS, ordered: bool = True) -> DataFrame:
+def _own(log: DataFrame, stream: str, native: Column | None) -> DataFrame:
+    return (log if native is None else log.where(native)).where(F.col("stream_name") == stream)
+
+
+def read_stream(log: DataFrame, stream: str, position: int = 0, direction: str = FORWARDS, ordered: bool = True, native: Column | None = None) -> DataFrame:
     """A stream from a position on, that position included, upwards or downwards."""
     if position < 0:
         raise ValueError(f"negative position: {position}")
-    own = log.where(F.col("stream_name") == stream)
+    own = _own(log, stream, native)
     at = F.col("stream_position")
     if direction == FORWARDS:
         kept, order = own.where(at >= position), at.asc()
@@ -29,7 +35,7 @@ def read_stream(log: DataFrame, stream: str, position: int = 0, direction: str =
     return kept.orderBy(order) if ordered else kept
 
 
-def read_from(log: DataFrame, stream: str, origin: str = "default", direction: str = FORWARDS, ordered: bool = True) -> DataFrame:
+def read_from(log: DataFrame, stream: str, origin: str = "default", direction: str = FORWARDS, ordered: bool = True, native: Column | None = None) -> DataFrame:
     """A stream from its start or end; default is the start forwards and the end backwards.
 
     Forwards from the end there is nothing to read; backwards from the start there
@@ -40,9 +46,9 @@ def read_from(log: DataFrame, stream: str, origin: str = "default", direction: s
     if origin == "default":
         origin = "start" if direction == FORWARDS else "end"
     if direction == FORWARDS:
-        found = read_stream(log, stream, 0, direction, ordered)
+        found = read_stream(log, stream, 0, direction, ordered, native)
         return found.where(F.lit(False)) if origin == "end" else found
-    return read_stream(log, stream, 0 if origin == "start" else 2**63 - 1, direction, ordered)
+    return read_stream(log, stream, 0 if origin == "start" else 2**63 - 1, direction, ordered, native)
 
 
 def stream_exists(log: DataFrame, stream: str) -> bool:
@@ -66,6 +72,11 @@ def pages(log: DataFrame, stream: str, size: int = 600) -> Iterator[list[Row]]:
         yield page
 
 
+def page_numbers(log: DataFrame, size: int = 600) -> DataFrame:
+    """log with ``page``: of each stream's pages of ``size`` events the one that an event is on, from 0."""
+    return log.withColumn("page", F.floor(F.col("stream_position") / F.lit(size)).cast("long"))
+
+
 def after_position(log: DataFrame, position: int | None) -> DataFrame:
     """All events behind a global position, that position excluded; null reads all."""
     return log if position is None else log.where(F.col("global_position") > position)
@@ -80,7 +91,7 @@ def head_versions(log: DataFrame, key: str = "stream_name") -> DataFrame:
     return log.groupBy(key).agg(F.max("stream_position").alias("version"), F.count("*").alias("events"))
 
 
-def subscribe_stream(log: DataFrame, stream: str, after: int | None = None) -> DataFrame:
+def subscribe_stream(log: DataFrame, stream: str, after: int | None = None, native: Column | None = None) -> DataFrame:
     """[extension] The events of one stream behind a stream position; batch or streaming."""
-    own = log.where(F.col("stream_name") == stream)
+    own = _own(log, stream, native)
     return own if after is None else own.where(F.col("stream_position") > after)

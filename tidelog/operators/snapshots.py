@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SnapshotDoesNotExist
 from ..plans.fold import Fold
-from ..session import UNION_PARTITIONING
+from ..session import prepare
 
 USE_SNAPSHOT, USE_EVENT_STREAM, PREFER_SNAPSHOT = "use_snapshot", "use_event_stream", "prefer_snapshot"
 
@@ -23,11 +23,8 @@ def take_snapshots(states: DataFrame, fold: Fold, where: Column | None = None) -
 
 
 def latest_snapshots(snapshots: DataFrame, key: str = "stream_name", order: str = "version") -> DataFrame:
-    """Of all snapshots of a stream the last one; its version is ``version``.
-
-    Snapshots are often a union, see ``session.union``.
-    """
-    snapshots.sparkSession.conf.set(UNION_PARTITIONING, "false")
+    """Of all snapshots of a stream the last one; its version is ``version``."""
+    prepare(snapshots.sparkSession)  # they are often a union
     return snapshots.groupBy(key).agg(F.max_by(F.struct("version", "state"), order).alias("_s")).select(key, "_s.version", "_s.state")
 
 
@@ -47,13 +44,11 @@ def load_with_strategy(log: DataFrame, fold: Fold, snapshots: DataFrame | None =
         return out.select(key, *fold.state(), "version", F.lit(None).cast("long").alias("snapshot_version"), F.col("events").alias("events_loaded"))
     if strategy not in (PREFER_SNAPSHOT, USE_SNAPSHOT):
         raise ValueError(f"no such strategy: {strategy}")
-    seeds = latest_snapshots(snapshots, key)
+    seeds = snapshots
     if requested is not None:
         seeds = seeds.join(requested.select(key), key, "left_semi")
-    versions = seeds.select(key, F.col("version").alias("snapshot_version"))
-    if strategy == USE_SNAPSHOT:
-        log = log.join(seeds.select(key), key, "left_semi")
-    out = fold.apply(log, seeds).join(versions, key, "left")
+    # The fold starts from the latest of all seeds that it meets, in the shuffle that it takes anyway.
+    out = fold.apply(log, seeds, seeded_only=strategy == USE_SNAPSHOT)
     return out.select(key, *fold.state(), "version", "snapshot_version", F.col("events").alias("events_loaded"))
 
 

@@ -7,23 +7,28 @@ item ``k`` to its cart, error removes it, click and view are not handled.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import EventTypes, MetadataContext, StreamNaming, decode_metadata, least_position, order_key
+from ..functions.positions import ANY, NEW_STREAM, NO_STREAM, expected_kind
 from ..operators.append import decide_appends, place_events
 from ..operators.entities import load_entities, load_or_create
-from ..operators.reads import BACKWARDS, after_position, exclude_system, head_versions, missing_streams, read_stream, subscribe_stream
+from ..operators.reads import BACKWARDS, after_position, exclude_system, head_versions, missing_streams, page_numbers, read_from, read_stream, subscribe_stream
 from ..operators.snapshots import USE_EVENT_STREAM, USE_SNAPSHOT, latest_snapshots, load_with_strategy, take_snapshots
 from ..scratch import scratch_path
 from ..session import union
 from ..sources.logs import conversation_log, events_log, order_log
+from ..sources.store import EventStore
+from ..streaming.model import ModelConsumer, ReadModel
+from ..streaming.runner import Subscription
 from ..streaming.source import read_log_stream
 from ..streaming.stateful import gated_counter, run_available, stream_table
 from .fold import Count, Fold, Greatest, KeyedSet, LastValue, Least, Reducer, Steps, Total, reduce_streams
-from .projection import Projection, checkpoint_positions, consumer_events, per_checkpoint, route
+from .projection import Projection, checkpoint_positions, checkpoint_positions_live, checkpoint_times, consumer_events, per_checkpoint, route
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,12 +98,26 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("read_stream_forwards", "SELECT stream_position, global_position, name FROM {LOG} WHERE stream_name = 'user-7' AND stream_position >= 10")
 def read_stream_forwards(spark: SparkSession, sf: str) -> DataFrame:
-    return read_stream(log_of(spark, sf), "user-7", 10).select("stream_position", "global_position", "name")
+    return read_stream(log_of(spark, sf), "user-7", 10, native=F.col("user_id") == 7).select("stream_position", "global_position", "name")
 
 
 @query("read_stream_backwards", "SELECT stream_position, global_position, name FROM {LOG} WHERE stream_name = 'user-7' AND stream_position <= 20")
 def read_stream_backwards(spark: SparkSession, sf: str) -> DataFrame:
-    return read_stream(log_of(spark, sf), "user-7", 20, BACKWARDS).select("stream_position", "global_position", "name")
+    return read_stream(log_of(spark, sf), "user-7", 20, BACKWARDS, native=F.col("user_id") == 7).select("stream_position", "global_position", "name")
+
+
+@query("read_from_origin", "SELECT 'all' AS what, stream_position, name FROM {LOG} WHERE stream_name = 'user-7' UNION ALL SELECT 'first', stream_position, name FROM {LOG} WHERE stream_name = 'user-7' AND stream_position = 0")
+def read_from_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """Backwards from the default origin all events, backwards from the start the first, forwards from the end none."""
+    log, own = log_of(spark, sf), F.col("user_id") == 7
+    read = lambda what, *how: read_from(log, "user-7", *how, ordered=False, native=own).select(F.lit(what).alias("what"), "stream_position", "name")
+    return union(read("all", "default", BACKWARDS), read("first", "start", BACKWARDS), read("none", "end"))
+
+
+@query("read_pages", "SELECT stream_name, CAST(stream_position // 10 AS BIGINT) AS page, count(*) AS n, min(global_position) AS first FROM {LOG} GROUP BY 1, 2")
+def read_pages(spark: SparkSession, sf: str) -> DataFrame:
+    paged = page_numbers(log_of(spark, sf), 10).groupBy("user_id", "page").agg(F.count("*").alias("n"), F.min("global_position").alias("first"))
+    return _named(paged, "page", "n", "first")
 
 
 @query("all_after_position", "SELECT stream_name, global_position, name FROM {LOG} WHERE global_position > 500")
@@ -135,7 +154,7 @@ def conversation_log_(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subscribe_stream", "SELECT stream_position, name FROM {LOG} WHERE stream_name = 'user-3' AND stream_position > 5")
 def subscribe_stream_(spark: SparkSession, sf: str) -> DataFrame:
-    return subscribe_stream(log_of(spark, sf), "user-3", 5).select("stream_position", "name")
+    return subscribe_stream(log_of(spark, sf), "user-3", 5, F.col("user_id") == 3).select("stream_position", "name")
 
 
 # -- mapping and payloads ------------------------------------------------------------------------
@@ -199,6 +218,24 @@ HANDLED = {"cart": ["signup", "purchase", "error"], "traffic": ["click", "view"]
 HANDLED_SQL = "(VALUES ('cart', 'signup'), ('cart', 'purchase'), ('cart', 'error'), ('traffic', 'click'), ('traffic', 'view'), ('sales', 'purchase')) h(consumer, name)"
 
 
+@query("mapping_precedence", "SELECT global_position, CASE name WHEN 'signup' THEN 'Start' WHEN 'purchase' THEN 'Bought' ELSE name END AS canonical FROM {LOG} WHERE name IN ('signup', 'purchase', 'click', 'view')")
+def mapping_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    """A base's types go by their own names; a single mapping overrides its type's, and the last one counts."""
+    event = type("Event", (), {"__annotations__": {}})
+    kinds = {n: dataclass(type(n, (event,), {"__annotations__": {"k": int}})) for n in ("click", "view", "Begun", "Sold")}
+    types = EventTypes().map(kinds["Begun"], "Begin", ["signup"]).map_all(event).map(kinds["Begun"], "Start", ["signup"]).map(kinds["Sold"], "Bought", ["purchase"])
+    kept = log_of(spark, sf).where(F.col("name").isin(types.names_of(*kinds.values())))
+    return kept.select("global_position", types.canonical(F.col("name")).alias("canonical"))
+
+
+@query("event_overrides", """SELECT global_position, 'Seen' AS name, k, '{"k":' || k || '}' AS payload FROM {LOG} WHERE name = 'view'""")
+def event_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoded as a given type whatever the name is mapped to, and encoded under a given name."""
+    codec = CART_TYPES.codec
+    seen = log_of(spark, sf).where(F.col("name") == "view").select("global_position", F.lit("Seen").alias("name"), codec.decode(F.col("payload"), ITEM, "failfast").alias("event"))
+    return seen.select("global_position", "name", F.col("event.k").alias("k"), codec.encode(F.col("event.k").alias("k")).alias("payload"))
+
+
 @query("route_events", f"SELECT consumer, global_position, l.name FROM {{LOG}} l JOIN {HANDLED_SQL} ON l.name = h.name")
 def route_events(spark: SparkSession, sf: str) -> DataFrame:
     return route(log_of(spark, sf), HANDLED).select("consumer", "global_position", "name")
@@ -373,6 +410,19 @@ def append_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return decide_appends(two, heads).where(~F.col("accepted")).select("request_id", "stream_name", "actual", "message")
 
 
+@query("append_empty_batch", "SELECT c_custkey AS request_id, true AS accepted, CAST(NULL AS BIGINT) AS new_version, CAST(NULL AS VARCHAR) AS message FROM customer")
+def append_empty_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch without events is accepted, whatever it expects, and changes nothing."""
+    asked = _requests(spark, sf, "version", F.lit(77)).withColumn("n", F.lit(0).cast("long"))
+    return decide_appends(asked, head_versions(log_of(spark, sf))).select("request_id", "accepted", "new_version", "message")
+
+
+@query("version_sentinels", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'any' WHEN 1 THEN 'no_stream' WHEN 2 THEN 'no_stream' ELSE 'version' END AS kind FROM customer")
+def version_sentinels(spark: SparkSession, sf: str) -> DataFrame:
+    cases = F.when(F.col("c_custkey") % 4 == 0, F.lit(ANY)).when(F.col("c_custkey") % 4 == 1, F.lit(NEW_STREAM)).when(F.col("c_custkey") % 4 == 2, F.lit(NO_STREAM)).otherwise(F.col("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey", expected_kind(cases.cast("long")).alias("kind"))
+
+
 @query("append_place_events", f"WITH {HEADS_SQL}, e AS (SELECT request_id, stream_name, v, i FROM r LEFT JOIN heads USING (stream_name), (VALUES (0), (1)) t(i)) SELECT stream_name, coalesce(v, -1) + 1 + i AS stream_position, 1000000 + row_number() OVER (ORDER BY request_id, i) - 1 AS global_position, CASE i WHEN 0 THEN 'ItemAdded' ELSE 'ItemRemoved' END AS name FROM e")
 def append_place_events(spark: SparkSession, sf: str) -> DataFrame:
     asked = _requests(spark, sf, "any", F.lit(None))
@@ -452,6 +502,18 @@ def checkpoint_positions_(spark: SparkSession, sf: str) -> DataFrame:
     return checkpoint_positions(handled, 100)
 
 
+@query("checkpoint_two_frequencies", "WITH h AS (SELECT event_id, row_number() OVER (PARTITION BY event_id > 500 ORDER BY event_id) AS n FROM events WHERE event_type IN ('signup', 'purchase')) SELECT event_id AS position FROM h WHERE CASE WHEN event_id <= 500 THEN n % 100 = 0 OR n = (SELECT max(n) FROM h WHERE event_id <= 500) ELSE n % 10 = 0 END")
+def checkpoint_two_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    handled = table(spark, sf, "events").where(F.col("event_type").isin("signup", "purchase")).select(F.col("event_id").alias("global_position"))
+    return checkpoint_positions_live(handled, 100, 500, 10)
+
+
+@query("checkpoint_by_time", "SELECT max(event_id) AS position FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY CAST(floor(epoch(ts) / 3600) AS BIGINT)")
+def checkpoint_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    handled = table(spark, sf, "events").where(F.col("event_type").isin("signup", "purchase")).select(F.col("event_id").alias("global_position"), "ts")
+    return checkpoint_times(handled, "ts", 3600)
+
+
 # -- read-model queries --------------------------------------------------------------------------
 
 
@@ -508,5 +570,105 @@ def stream_cart_items(spark: SparkSession, sf: str) -> DataFrame:
     return stream_table(spark, stream, cart_table(), scratch_path(spark, "items"))
 
 
+# -- the store -----------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession, sf: str, where: F.Column | None = None) -> EventStore:
+    store = EventStore(spark, scratch_path(spark, "store"))
+    store.import_log(log_of(spark, sf) if where is None else log_of(spark, sf).where(where))
+    return store
+
+
+def item_table() -> Projection:
+    """The cart's items by stream name, for logs without a native key."""
+    return Projection(("stream_name", "item")).upsert("purchase", stream_name=F.col("stream_name"), item=item()).delete("error", stream_name=F.col("stream_name"), item=item())
+
+
+NAMED_ITEMS_SQL = f"SELECT 'user-' || user_id AS stream_name, item FROM ({ITEMS_SQL})"
+
+
+@query("store_append_read", f"WITH {HEADS_SQL}, base AS (SELECT max(global_position) + 1 AS g FROM {{LOG}}), e AS (SELECT request_id, stream_name, v, i FROM r LEFT JOIN heads USING (stream_name), (VALUES (0), (1)) t(i)) SELECT stream_name, stream_position, global_position, name FROM {{LOG}} UNION ALL SELECT stream_name, coalesce(v, -1) + 1 + i, g + row_number() OVER (ORDER BY request_id, i) - 1, CASE i WHEN 0 THEN 'ItemAdded' ELSE 'ItemRemoved' END FROM e, base")
+def store_append_read(spark: SparkSession, sf: str) -> DataFrame:
+    """A log is imported, every customer's stream is appended to, all is compacted and read."""
+    store = _store(spark, sf)
+    event = lambda n: F.struct(F.lit(n).alias("name"), F.lit("{}").alias("payload"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    store.append_batch(_requests(spark, sf, "any", F.lit(None)).withColumn("events", F.array(event("ItemAdded"), event("ItemRemoved"))))
+    store.compact()
+    return store.log().select("stream_name", "stream_position", "global_position", "name")
+
+
+@query("store_read_stream", "SELECT stream_position, global_position, name FROM {LOG} WHERE stream_name = 'user-7'")
+def store_read_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """One stream from a compacted store (one bucket of its copy) and a later commit."""
+    early = F.col("global_position") < 300
+    store = _store(spark, sf, early)
+    store.import_log(log_of(spark, sf).where((F.col("global_position") >= 300) & (F.col("global_position") < 600)))
+    store.compact()
+    store.import_log(log_of(spark, sf).where(F.col("global_position") >= 600))
+    return read_stream(store.stream_log("user-7"), "user-7").select("stream_position", "global_position", "name")
+
+
+@query("stream_store_compacted", "SELECT stream_name, count(*) AS n, CAST(sum(global_position) AS BIGINT) AS positions FROM {LOG} GROUP BY stream_name")
+def stream_store_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream over a store that is compacted and goes on between two of its batches: each event comes once."""
+    store = _store(spark, sf, F.col("global_position") < 300)
+    store.import_log(log_of(spark, sf).where((F.col("global_position") >= 300) & (F.col("global_position") < 700)))
+    folder, offsets = scratch_path(spark, "seen"), scratch_path(spark, "offsets")
+    run = lambda: run_available(store.stream(), lambda batch, n: batch.select("stream_name", "global_position").write.mode("append").parquet(folder), offsets)
+    run()
+    store.compact()
+    store.import_log(log_of(spark, sf).where(F.col("global_position") >= 700))
+    run()
+    return spark.read.parquet(folder).groupBy("stream_name").agg(F.count("*").alias("n"), F.sum("global_position").alias("positions"))
+
+
+@query("stream_restart", NAMED_ITEMS_SQL)
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """A subscription that is lost after its first batch, and another in its place: it begins behind the model's position."""
+    store, folder, offsets = _store(spark, sf), scratch_path(spark, "model"), scratch_path(spark, "offsets")
+
+    class Lost(ModelConsumer):
+        def on_batch(self, batch: DataFrame, number: int) -> bool:
+            if number:
+                raise RuntimeError("the process is lost")
+            return super().on_batch(batch, number)
+
+    for kind in (Lost, ModelConsumer):
+        most = -(-((store.head() or 0) + 1) // 2)
+        sub = Subscription(spark, lambda after: store.stream(after, most), [kind(ReadModel(spark, item_table(), folder))], offsets)  # noqa: B023
+        sub.start()
+        sub.flush()
+        sub.stop()
+    return ReadModel(spark, item_table(), folder).rows()
+
+
+@query("subscription_resume", f"SELECT 'cart' AS consumer, stream_name, item FROM ({NAMED_ITEMS_SQL}) UNION ALL SELECT DISTINCT 'sales', stream_name, k FROM {{LOG}} WHERE name = 'purchase' AND global_position > 400")
+def subscription_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Two consumers on one scan, one of which starts later; the other fails, is suspended and resumed."""
+    store = _store(spark, sf)
+    models = {"cart": ReadModel(spark, item_table(), scratch_path(spark, "cart")), "sales": ReadModel(spark, Projection(("stream_name", "item")).upsert("purchase", stream_name=F.col("stream_name"), item=item()), scratch_path(spark, "sales"))}
+
+    class Fails(ModelConsumer):
+        broken = True
+
+        def on_batch(self, batch: DataFrame, number: int) -> bool:
+            if self.broken:
+                raise RuntimeError("broken")
+            return super().on_batch(batch, number)
+
+    class Later(ModelConsumer):
+        def on_restore(self) -> int | None:
+            return max(super().on_restore() or 0, 400)
+
+    cart = Fails(models["cart"], "cart")
+    sub = Subscription(spark, store.stream, [cart, Later(models["sales"], "sales")], scratch_path(spark, "offsets"), store.head)
+    sub.start()
+    sub.catch_up()
+    cart.broken = False
+    sub.resume("cart")
+    sub.stop()
+    return union(*[m.rows().select(F.lit(n).alias("consumer"), "stream_name", "item") for n, m in models.items()])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return projection_cart_summary(spark, sf)

@@ -52,6 +52,19 @@ def checkpoint_positions(handled: DataFrame, every: int, position: str = "global
     return at.where((F.col("number") % every == 0) | F.col("_last").isNotNull()).select(F.col(position).alias("position"))
 
 
+def checkpoint_positions_live(handled: DataFrame, every: int, live_from: int, live_every: int, position: str = "global_position") -> DataFrame:
+    """As ``checkpoint_positions`` for events up to ``live_from``; those behind are handled live, and counted anew by ``live_every``."""
+    caught_up = checkpoint_positions(handled.where(F.col(position) <= live_from), every, position)
+    numbered = running_number(handled.where(F.col(position) > live_from).select(position), position)
+    return union(caught_up, numbered.where(F.col("number") % live_every == 0).select(F.col(position).alias("position")))
+
+
+def checkpoint_times(handled: DataFrame, at: str, seconds: int, position: str = "global_position") -> DataFrame:
+    """The positions at which a timer of some seconds checkpoints: the last event before each tick, where there was one since the last."""
+    tick = F.floor(F.unix_timestamp(at) / F.lit(seconds))
+    return handled.groupBy(tick.alias("_tick")).agg(F.max(position).alias("position")).select("position")
+
+
 def per_checkpoint(handled: DataFrame, every: int, fold: Fold) -> DataFrame:
     """The fold of each stream in each checkpoint interval: state that lives from one checkpoint to the next.
 

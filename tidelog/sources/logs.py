@@ -33,7 +33,7 @@ def conversation_log(conversations: DataFrame) -> DataFrame:
     counted from one row each.
     """
     base = conversations.groupBy("conv_id").agg(F.count("*").alias("_n"))
-    from ..operators.append import running_total
+    from ..plans.numbering import running_total
 
     offsets = running_total(base, "conv_id", "_n", "_before").select("conv_id", "_before")
     joined = conversations.join(offsets, "conv_id")
