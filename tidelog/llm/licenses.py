@@ -35,7 +35,6 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Mapping
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import TEMPLATES
-from .shared import map_arrow
+from .shared import GOLDEN, map_arrow, mix, run_hashes, whole_id, word_shingles
 
 SHINGLE, CONTAINED = 5, 0.8
 CLASSES = (8, 16, 32, 64)
@@ -53,7 +52,8 @@ TEMPLATE_BYTES = 64 << 20
 
 #: A-Z lower-cased, and all ASCII but letters and digits as blanks.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
-_P = 0x9E3779B97F4A7C15
+_BLANK = np.arange(256) == 32
+_P, _mix = GOLDEN, mix
 _PART = 1 << 20
 
 
@@ -62,20 +62,6 @@ def miss_bound(similarity: float, bands: int = BANDS, rows: int = BAND_ROWS) ->
     return (1 - similarity**rows) ** bands
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and its inverse, for i below n."""
-    up, down = np.full(n, _P, np.uint64), np.full(n, pow(_P, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, begin and end (bytes of the original) of each word; in parts that end at a blank."""
     raw = (text or "").encode().translate(_FOLD)
@@ -85,14 +71,9 @@ def words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if at + _PART < to:
             to = raw.find(b" ", at + _PART)
             to = len(raw) if to < 0 else to
-        b = np.frombuffer(raw, np.uint8, to - at, at)
-        edge = np.diff(np.concatenate([[True], b == 32, [True]]).astype(np.int8))
-        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(begin):
-            up, down = _powers(1 << max(17, len(b).bit_length()))
-            sums = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-            hashes.append(_mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        h, begin, end = run_hashes(raw[at:to], _BLANK)
+        if len(h):
+            hashes.append(h)
             begins.append(begin + at)
             ends.append(end + at)
         at = to
@@ -103,13 +84,7 @@ def words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """The hash of each run of ``size`` words, in order; of fewer words, one of all."""
-    if not len(w):
-        return w
-    n = min(size, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = _mix(h * np.uint64(_P) + w[k : len(w) - n + 1 + k])
-    return h
+    return word_shingles(w, size)
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -288,7 +263,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
 
         return f
 
-    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, matches array<struct<name:string,containment:double,begin:long,end:long>>")
+    out = map_arrow(docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text")), make, "doc long, matches array<struct<name:string,containment:double,begin:long,end:long>>")
     return out.withColumnRenamed("doc", id_col)
 
 

@@ -15,24 +15,33 @@ threshold goes no further; the others are verified on their full shingle sets.
 How groups stay cheap, however large:
 
 * Documents with equal shingle sets are one class; only its least id goes on.
-* In each band bucket one member is the hub; every document is paired with the hub that
-  it shares most buckets with (a star).  Verified stars make components.  Buckets that
-  still hold several components take part in the next round, with other hubs, as long as
-  rounds close some: a group of near copies falls into one component at a pair a document.
-* Then the members of each open bucket are compared by their whole sets (32 bits a
-  shingle) in blocks of BLOCK, each with each, whatever the bucket's size.  Pairs that
-  differ by more than the threshold never become rows; those that may link two
-  components are verified like the others.
+* Buckets with the same members count once (near copies share many bands).
+* In each bucket one member is the hub; every document is paired with the hub that it
+  shares most buckets with (a star), so a group of near copies falls into one component
+  at a pair a document.  Pairs are verified in groups around the hub, of ``CHUNK``
+  members at most: each group gets the hub's text once and each member's text once.
+* What stays open are buckets with members of several components.  Those that aren't in
+  the bucket's largest component are compared with each other and with that component,
+  in blocks of ``BLOCK`` members; members of the largest component are not compared with
+  each other.  A block first estimates by registers, then compares sets (32 bits a
+  shingle), and only pairs that may link two components become rows, which are verified
+  like the others.
+* As long as these comparisons would be more than ``CHEAP`` a membership, another round
+  of stars with other hubs comes first (``TURNS`` at most), as a round costs one pair a
+  document and takes what it links out of the comparisons.
+
+Which of these a group meets changes the cost only; the links are the same.
 
 A link of similarity 0.8 is missed if no band agrees, about (1 - 0.8^7)^64 = 3e-7.
 Nothing is capped or dropped; components are found by joins, in tables written to
-the shared folder at each step, and nothing grows on the driver.
+the shared folder at each step and removed at the end, and nothing grows on the driver.
 
 Cases: a null or blank text has no shingles, is linked with nothing and keeps its
 own id; fewer words than a shingle has are one shingle; repeated rows are one class;
 rows of a repeated id with different texts are labelled each by its own text; a row
 with a null id is kept, with a null component, and links nothing; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read; ids are whole numbers (another type is an
+error).
 """
 
 from __future__ import annotations
@@ -44,56 +53,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_scope
 from ..session import union
-from .shared import in_arrow, map_arrow, materialise
+from .shared import GOLDEN, in_arrow, map_arrow, materialise, mix, powers, run_hashes, whole_id, word_shingles
 
 BAND, BANDS, MANTISSA, ZERO_BITS = 7, 64, 10, 6
 REGISTERS = BAND * BANDS
 #: Registers that are kept for estimates.
 KEPT = 128
-#: Rounds of stars at most, and the share of open memberships that a round has to close for there to be another.
-TURNS, CLOSED = 8, 0.05
+#: Rounds of stars at most, and the comparisons a membership that end them.
+TURNS, CHEAP = 8, 1024
 #: Members of a bucket that are compared with another such block at a time.
 BLOCK = 2048
-#: Ids of documents to verify that are broadcast at most; more are joined by a shuffle.
-WANTED = 1_000_000
+#: Pairs around a hub that are verified together at most.
+CHUNK = 256
 #: A pair goes to verification if its estimate is at most so many standard deviations below the threshold.
 SIGMAS = 5.0
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_P = 0x9E3779B97F4A7C15 | 1
+_P = GOLDEN
 _PIECE = 1 << 20
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-@lru_cache(5)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and its inverse, for i below n."""
-    up = np.full(n, _P, np.uint64)
-    up[0] = 1
-    down = np.full(n, pow(_P, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_mix, _powers = mix, powers
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, by differences of running sums."""
-    b = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(17, len(b).bit_length()))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-    return _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each word."""
+    return run_hashes(raw, _SPACE)[0]
 
 
 def text_words(text: str | None) -> np.ndarray:
@@ -116,11 +103,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     w = text_words(text)
     if not len(w):
         return w
-    n = min(size, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = _mix(h * np.uint64(_P) + w[k : len(w) - n + 1 + k])
-    return np.unique(h)
+    return np.unique(word_shingles(w, size))
 
 
 def registers(h: np.ndarray) -> np.ndarray:
@@ -188,14 +171,26 @@ def chance(n: int, m: int) -> float:
     return float(KEPT * p.sum())
 
 
+def by_chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """``chance`` for pairs of set sizes."""
+    size = lambda v: np.round(2 * np.log2(np.maximum(v, 1))).astype(np.int64)
+    kinds, at = np.unique(size(n) << 8 | size(m), return_inverse=True)
+    return np.array([chance(k >> 8, k & 255) for k in kinds.tolist()])[at]
+
+
 def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates of pairs of register rows, and the registers that each rests on."""
     used = ((x != 0) | (y != 0)).sum(1)
     equal = ((x == y) & (x != 0)).sum(1)
-    size = lambda v: np.round(2 * np.log2(np.maximum(v, 1))).astype(int).tolist()
-    by_chance = np.array([chance(a, b) for a, b in zip(size(n), size(m), strict=True)])
-    rest = np.maximum(used - by_chance, 1)
-    return np.clip((equal - by_chance) / rest, 0, 1), used
+    expected = by_chance(n, m)
+    rest = np.maximum(used - expected, 1)
+    return np.clip((equal - expected) / rest, 0, 1), used
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """Whether the estimate of each pair leaves a link possible."""
+    j, used = estimate(x, y, n, m)
+    return j >= share - SIGMAS * np.sqrt(share * (1 - share) / np.maximum(used, 1))
 
 
 def set_digest(h: np.ndarray) -> bytes | None:
@@ -222,54 +217,68 @@ def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, n long, digest binary, regs binary, keys array<long>")
+    return map_arrow(docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text")), make, "doc long, n long, digest binary, regs binary, keys array<long>")
 
 
-def band_keys(reps: DataFrame) -> DataFrame:
-    """rep and key: a row for each band."""
-    return reps.select("rep", F.explode("keys").alias("key"))
+def band_members(sets: DataFrame) -> DataFrame:
+    """rep and key of each bucket with several members; of buckets with the same members one."""
+    keyed = sets.select("rep", F.xxhash64("digest").alias("h"), F.xxhash64("digest", F.lit(1)).alias("g"), F.explode("keys").alias("key"))
+    # A class is in a bucket once, so equal members have equal sums (128 bits).
+    full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).where("n > 1")
+    once = full.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key")
+    return keyed.select("rep", "key").join(once, "key")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """Of the pairs (a, b), those whose estimate does not rule a link out."""
+    """Of the pairs (a, b, ca, cb), those whose estimate does not rule a link out."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9))
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = lambda name: np.frombuffer(b"".join(b.column(name).to_pylist()), np.uint16).reshape(-1, KEPT)
-            j, used = estimate(rows("ra"), rows("rb"), b.column("na").to_numpy(), b.column("nb").to_numpy())
-            spread = SIGMAS * np.sqrt(share * (1 - share) / np.maximum(used, 1))
-            keep = pa.array(j >= share - spread)
-            return pa.record_batch({"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)})
+            keep = pa.array(may_link(rows("ra"), rows("rb"), b.column("na").to_numpy(), b.column("nb").to_numpy(), share))
+            return pa.record_batch({x: b.column(x).filter(keep) for x in ("a", "b", "ca", "cb")})
 
         return f
 
-    return map_arrow(joined.select("a", "b", "na", "nb", "ra", "rb"), make, "a long, b long", rows=4096)
+    return map_arrow(joined.select("a", "b", "ca", "cb", "na", "nb", "ra", "rb"), make, "a long, b long, ca long, cb long", rows=4096)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those linked by their full shingle sets; texts has rep and text."""
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    """Of the pairs (a, b, ca, cb; a table), those linked by their full shingle sets; texts has rep and text.
 
-    def make():
-        last: list = [None, None]  # pairs of one document often follow each other
+    Pairs come in groups around ``a``, of some CHUNK at most: a row with the text of a for
+    each group, and a row with the text of b for each pair.  Texts are joined once.
+    """
+    # Only hubs of more than one group are listed, a CHUNK-th of the pairs at most.
+    large = materialise(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("a", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("groups")), "large")
+    told = pairs.join(large, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"), F.lit(0)))
+    member = told.select(F.col("b").alias("rep"), "a", "part", F.lit(True).alias("member"), "ca", "cb")
+    hub = told.select("a", "part").distinct().select(F.col("a").alias("rep"), "a", "part", F.lit(False).alias("member"), F.lit(None).cast("long").alias("ca"), F.lit(None).cast("long").alias("cb"))
+    wanted = materialise(union(member, hub), "wanted")
+    rows = texts.join(wanted, "rep").select("a", "part", "member", "rep", "ca", "cb", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member", "rep")
+
+    def run(batches):
+        at, hubs = None, []  # of a repeated id several texts
 
-        def linked(a: int, ta: str, tb: str) -> bool:
-            if last[0] != a:
-                last[:] = a, shingles(ta, size)
-            x, y = last[1], shingles(tb, size)
+        def linked(x: np.ndarray, y: np.ndarray) -> bool:
             both = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * both >= percent * (len(x) + len(y) - both)
 
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            keep = pa.array([linked(*r) for r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
-            return pa.record_batch({"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)})
-
-        return f
+        for b in batches:
+            out = []
+            for a, part, is_member, rep, ca, cb, text in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if (a, part) != at:
+                    at, hubs = (a, part), []
+                h = shingles(text, size)
+                if not is_member:
+                    hubs.append(h)
+                elif any(linked(x, h) for x in hubs):
+                    out.append((a, rep, ca, cb))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "ca", "cb"])
 
-    return map_arrow(joined.select("a", "b", "ta", "tb"), make, "a long, b long")
+    return in_arrow(rows, run, "a long, b long, ca long, cb long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,75 +312,93 @@ def label(frame: DataFrame, comps: DataFrame, column: str, out: str) -> DataFram
 
 
 def open_buckets(members: DataFrame) -> DataFrame:
-    """The members (rep, key, comp) of buckets that hold several components, with the bucket's size n."""
-    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "n")
-    return materialise(members.select("rep", "key", "comp").join(open_, "key"), "open")
+    """The members (rep, key, comp) of buckets that hold several components.
+
+    With ``minor`` (not in the bucket's largest component), and the numbers of members that are and are not (n_major, n_minor).
+    """
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    stats = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("n_major"), (F.sum("n") - F.max("n")).alias("n_minor")).where("n_minor > 0")
+    # As a table the few open keys are a plain side of the join, so a bucket with very many members is split.
+    open_ = materialise(stats, "stats")
+    return materialise(members.select("rep", "key", "comp").join(open_, "key").select("rep", "key", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_major", "n_minor"), "open")
 
 
 def stars(members: DataFrame, turn: int) -> DataFrame:
     """A pair (a, b) for each member that isn't in the component of all its hubs: a is the one it shares most buckets with.
 
-    The hub of a bucket is its least id in turn 0, then by a hash of id and turn.
+    The hub of a bucket is its least id in turn 0, then by a hash of id and turn; ca and
+    cb are the components of a and b.
     """
     order = F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))
     hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), order).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.comp").alias("hub_comp"))
-    met = members.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
-    shared = met.groupBy("rep", "hub").agg(F.count("*").alias("n"))
-    best = shared.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    return best.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-
-
-def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of some reps.  Up to WANTED ids (16 bytes each) are sent to each executor, which saves a shuffle of all texts."""
-    return texts.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "rep", "left_semi")
+    met = members.select("rep", "comp", "key").join(materialise(hubs, "hubs"), "key").where(F.col("comp") != F.col("hub_comp"))
+    shared = met.groupBy("rep", "comp", "hub", "hub_comp").agg(F.count("*").alias("n"))
+    best = shared.groupBy("rep").agg(F.max_by(F.struct("hub", "hub_comp", "comp"), F.struct("n", -F.col("hub"))).alias("h"))
+    return best.select(F.col("h.hub").alias("a"), F.col("rep").alias("b"), F.col("h.hub_comp").alias("ca"), F.col("h.comp").alias("cb"))
 
 
 def short_sets(texts: DataFrame, size: int) -> DataFrame:
-    """rep and set: the lowest 32 bits of each shingle hash."""
+    """rep, set (the lowest 32 bits of each shingle hash), n (its shingles) and regs."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch({"rep": b.column(0), "set": pa.array([np.unique(shingles(t, size).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()], pa.binary())})
+            hashes = [shingles(t, size) for t in b.column(1).to_pylist()]
+            return pa.record_batch({"rep": b.column(0), "set": pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in hashes], pa.binary()), "n": pa.array(list(map(len, hashes)), pa.int64()), "regs": pa.array([registers(h)[:KEPT].tobytes() for h in hashes], pa.binary())})
 
         return f
 
-    return map_arrow(texts.select("rep", "text"), make, "rep long, set binary")
+    return map_arrow(texts.select("rep", "text"), make, "rep long, set binary, n long, regs binary")
 
 
-def block_links(comp: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross: bool, percent: int) -> list[tuple[int, int]]:
+def block_links(comp: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross: bool, percent: int, regs: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Of the members of a block, pairs that link its components as far as their short sets tell.
 
-    cross: only pairs with different ``own``.  Pairs that are surely linked are told as
-    far as they join components; those at the threshold are told all.  Of u shingles
-    about u * u / 2^33 fall together in 32 bits (a Poisson number, so six deviations
-    more are allowed for): by as many the counts of a pair can be off.
+    cross: only pairs with different ``own``.  With registers and sizes of the whole sets,
+    pairs that their estimate rules out aren't compared.  Pairs that are surely linked are
+    told as far as they join components; those at the threshold are told all.  Of u shingles
+    about u * u / 2^33 fall together in 32 bits (a Poisson number, so six deviations and
+    two more are allowed for, or one where the mean is below 1e-5): by as many the counts
+    of a pair can be off.
     """
-    m = len(sets)
+    m, share = len(sets), percent / 100
+    n = np.array([len(x) for x in sets], np.int64)
+    others: list[np.ndarray] = []
+    for i in range(m):
+        apart = comp[i + 1 :] != comp[i]
+        if cross:
+            apart &= own[i + 1 :] != own[i]
+        j = i + 1 + np.flatnonzero(apart)
+        if regs is not None and len(j):
+            j = j[(sizes[j] >= share * sizes[i] - 1e-9) & (sizes[i] >= share * sizes[j] - 1e-9)]
+            if len(j):
+                j = j[may_link(regs[i][None], regs[j], np.full(len(j), sizes[i]), sizes[j], share)]
+        others.append(j)
+    if not any(map(len, others)):
+        return []
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    who = np.repeat(np.arange(m), [len(x) for x in sets])
+    who = np.repeat(np.arange(m), n)
     more = np.bincount(at, minlength=len(values))[at] > 1  # what only one member has is in no intersection
     _, at = np.unique(at[more], return_inverse=True)
     who = who[more]
-    both = np.zeros((m, m), np.int32)  # the upper triangle
+    both = [np.zeros(len(j), np.int64) for j in others]
     wide = max(64, (1 << 25) // m // 64 * 64)
     for low in range(0, int(at.max()) + 1 if len(at) else 0, wide):
         part = (at >= low) & (at < low + wide)
         has = np.zeros((m, min(wide, -(-(int(at.max()) + 1 - low) // 64) * 64)), bool)
         has[who[part], at[part] - low] = True
         bits = np.packbits(has, axis=1).view(np.uint64)
-        for i in range(m - 1):
-            both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1, dtype=np.int32)
-    n = np.array([len(x) for x in sets], np.int64)
-    near, sure = np.zeros((m, m), bool), np.zeros((m, m), bool)
-    for i in range(m - 1):  # by rows, as a whole table of 64-bit numbers is large
-        shared, apart = both[i, i + 1 :].astype(np.int64), comp[i + 1 :] != comp[i]
-        if cross:
-            apart &= own[i + 1 :] != own[i]
-        rest = n[i] + n[i + 1 :] - shared
+        for i, j in enumerate(others):
+            if len(j):
+                both[i] += np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+    sure, near = [], []
+    for i, (j, shared) in enumerate(zip(others, both, strict=True)):
+        rest = n[i] + n[j] - shared
         fall = rest.astype(np.float64) ** 2 / 2.0**33
-        off = 2 + (fall + 6 * np.sqrt(fall)).astype(np.int64)
-        near[i, i + 1 :] = apart & (100 * (shared + off) >= percent * (rest - off))
-        sure[i, i + 1 :] = near[i, i + 1 :] & (100 * (shared - off) >= percent * (rest + off))
+        off = np.where(fall < 1e-5, 1, 2 + (fall + 6 * np.sqrt(fall)).astype(np.int64))
+        close = 100 * (shared + off) >= percent * (rest - off)
+        certain = close & (100 * (shared - off) >= percent * (rest + off))
+        sure += [(i, k) for k in j[certain].tolist()]
+        near += [(i, k) for k in j[close & ~certain].tolist()]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -380,38 +407,43 @@ def block_links(comp: np.ndarray, own: np.ndarray, sets: list[np.ndarray], cross
         return x
 
     out = []
-    for i, j in np.argwhere(sure).tolist():
+    for i, j in sure:
         a, b = find(int(comp[i])), find(int(comp[j]))
         if a != b:
             root[a] = b
             out.append((i, j))
-    return out + [tuple(x) for x in np.argwhere(near & ~sure).tolist()]
+    return out + near
 
 
 def between(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link the components of a bucket.
+    """Pairs (a, b, ca, cb) that may link the components of a bucket (see ``open_buckets``).
 
-    The members of a bucket are compared in blocks of about BLOCK, each block with each,
-    so no task holds more than two blocks and no pair becomes a row unless it links.
+    Each block of members outside the largest component meets each other such block and
+    each block of that component, so no task holds more than two blocks and no pair
+    becomes a row unless it links.
     """
-    sets = materialise(short_sets(texts_of(texts, materialise(members.select("rep").distinct(), "wanted")), size), "sets")
-    number = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), number).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), number - 1)))
+    wanted = materialise(members.select("rep").distinct(), "wanted")
+    sets = materialise(short_sets(texts.join(wanted, "rep", "left_semi"), size), "sets")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
+    minors, majors = blocks("n_minor"), blocks("n_major")
+    # Blocks outside the largest component have the numbers from 0, those of it the numbers behind.
+    own = F.when(F.col("minor"), F.pmod(F.xxhash64("rep"), minors)).otherwise(minors + F.pmod(F.xxhash64("rep"), majors)).cast("int")
+    meets = F.when(F.col("minor"), F.sequence(F.lit(0), minors + majors - 1)).otherwise(F.sequence(F.lit(0), minors - 1))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(meets))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") != F.col("other")).alias("cross"), "own", "rep", "comp")
-    rows = dealt.join(sets, "rep").select("block", "cross", "own", "rep", "comp", "set").repartition("block").sortWithinPartitions("block", "rep")
+    rows = dealt.join(sets, "rep").select("block", "cross", "own", "rep", "comp", "n", "regs", "set").repartition("block").sortWithinPartitions("block", "own", "rep")
 
     def run(batches):
         held: list[tuple] = []
 
         def found() -> pa.RecordBatch:
-            reps = [r[3] for r in held]
-            pairs = block_links(np.array([r[4] for r in held]), np.array([r[2] for r in held]), [np.frombuffer(r[5], np.uint32) for r in held], any(r[1] for r in held), percent)
-            ends = [sorted((reps[i], reps[j])) for i, j in pairs]
-            return pa.record_batch({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
+            cross, own, reps, comp, n, regs, sets = list(zip(*held, strict=True))[1:]
+            pairs = block_links(np.array(comp), np.array(own), [np.frombuffer(x, np.uint32) for x in sets], any(cross), percent, np.frombuffer(b"".join(regs), np.uint16).reshape(-1, KEPT), np.array(n))
+            ends = [(i, j) if reps[i] < reps[j] else (j, i) for i, j in pairs]
+            return pa.RecordBatch.from_arrays([pa.array([x[e[k]] for e in ends], pa.int64()) for x in (reps, comp) for k in (0, 1)], ["a", "b", "ca", "cb"])
 
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
                 if held and row[0] != held[0][0]:
                     yield found()
                     held = []
@@ -419,52 +451,45 @@ def between(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         if held:
             yield found()
 
-    return in_arrow(rows, run, "a long, b long").distinct()
+    return in_arrow(rows, run, "a long, b long, ca long, cb long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept and class_id (the least id with the same shingle set) of each row."""
+    result: list[DataFrame] = []
+    with scratch_scope(lambda: result):
+        result.append(materialise(_near_duplicates(docs, shingle_words, percent, id_col, text_col), "components"))
+    return result[0]
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     share = percent / 100
     sketches = materialise(sketch(docs, shingle_words, id_col, text_col), "sketches")
     some = sketches.where("doc is not null and n > 0")
     sets = materialise(some.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys")), "classes")
     reps = sets.drop("keys")
-
-    keyed = band_keys(sets)
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(keyed.join(full, "key").withColumn("comp", F.col("rep")), "bands")
-    all_texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        wanted = materialise(union(pairs.select(F.col("a").alias("rep")), pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
-        texts = texts_of(all_texts, wanted)
-        return materialise(verify(pairs, texts, shingle_words, percent), "linked")
-
+    members = materialise(band_members(sets).withColumn("comp", F.col("rep")), "bands")
+    texts = docs.select(whole_id(docs, id_col).alias("rep"), F.col(text_col).alias("text"))
     classes = reps.select("digest", "rep").withColumn("component_id", F.col("rep"))
 
     def merge(pairs: DataFrame) -> DataFrame:
         """Join the components of linked pairs; returns the new component of each that was joined."""
         nonlocal classes
-        links = linked(pairs)
-        comp_of = members.select("rep", "comp").distinct()
-        ends = links.join(comp_of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp_of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-        comps = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        links = verify(materialise(pairs, "pairs"), texts, shingle_words, percent)
+        comps = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         classes = label(classes, comps, "component_id", "component_id")
         return comps
 
     # Stars around changing hubs join most of what belongs together at a pair a document ...
-    open_n = members.count()
     for turn in range(TURNS):
-        if not open_n:
-            break
         members = open_buckets(label(members, merge(likely(stars(members, turn), reps, share)), "comp", "comp"))
-        before, open_n = open_n, members.count()
-        if open_n > (1 - CLOSED) * before:
+        n, work = members.agg(F.count("*"), F.sum(F.when(F.col("minor"), F.col("n_major") + F.col("n_minor")))).first()
+        if (work or 0) <= CHEAP * n:
             break
+    else:
+        members = open_buckets(members)
     # ... so that what is left between components is compared in blocks.
-    if open_n:
-        merge(between(members, all_texts, shingle_words, percent))
+    merge(between(members, texts, shingle_words, percent))
 
     named = some.select("doc", "n", "digest").join(classes, "digest").drop("digest")
     alone = sketches.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("component_id"))
@@ -497,17 +522,24 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col:
     Rows of one id stay or go together, but of those with equal text one stays.  Rows
     with a null id are compared by their shingle sets with each other only: of those with
     equal sets one stays, also where a row with an id is equal to it.
+
+    Texts aren't moved where the ids that go and those that repeat are few enough to be
+    broadcast (Spark's own threshold).
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, shingle_words, percent, id_col, text_col)
-    stay = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_stay")).distinct()
-    there = docs.where(F.col(id_col).isNotNull())
-    joined = there.join(stay, there[id_col].cast("long") == F.col("_stay"), "left_semi")
-    # The join has dealt the rows by id, so this needs no further shuffle.
-    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[c for c in ("lang", "source", "n_chars") if c in docs.columns] or [id_col])
-    once = joined.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
-    return union(once, one_of_equals(docs.where(F.col(id_col).isNull()), shingle_words, text_col))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = lambda c: f"c{names.index(c)}"
+    found = near_duplicates(docs, shingle_words, percent, id_col, text_col).where(F.col(id_col).isNotNull())
+    told = materialise(found.groupBy(F.col(id_col).alias("id")).agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "told")
+    id_ = whole_id(plain, at(id_col))
+    there = plain.where(F.col(at(id_col)).isNotNull())
+    once = there.join(told, id_ == F.col("id"), "left_anti")
+    # Equal hashes first, so that texts are compared with those that may be equal only.
+    same = Window.partitionBy(at(id_col), F.xxhash64(at(text_col)), at(text_col)).orderBy(*[at(c) for c in ("lang", "source", "n_chars") if c in names] or [at(id_col)])
+    repeated = there.join(told.where("stays"), id_ == F.col("id"), "left_semi").withColumn("copy", F.row_number().over(same)).where("copy = 1").drop("copy")
+    return union(once, repeated, one_of_equals(docs.where(F.col(id_col).isNull()), shingle_words, text_col).toDF(*plain.columns)).toDF(*names)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,26 +5,34 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType, NullType
 
 from ..scratch import materialise, scratch_path, scratch_root
 from ..session import ship
 
-__all__ = ["AtomicFile", "Memo", "filesystem", "filter_rows", "in_arrow", "map_arrow", "materialise", "prefix_sums", "ragged", "scratch_path", "scratch_root", "table", "text_batches"]
+__all__ = ["GOLDEN", "AtomicFile", "Memo", "filesystem", "filter_rows", "in_arrow", "map_arrow", "materialise", "mix", "powers", "prefix_sums", "ragged", "run_hashes", "scratch_path", "scratch_root", "table", "text_batches", "whole_id", "word_shingles"]
 
-#: What goes to Python at once: long texts, or one text repeated in many pairs, make large rows.
-BATCH_BYTES, BATCH_ROWS = 16 << 20, 4096
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_id(df: DataFrame, column: str) -> Column:
+    """An id column as a long; a column that doesn't hold whole numbers is an error."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (IntegralType, NullType)) and not (isinstance(kind, DecimalType) and kind.scale == 0):
+        raise TypeError(f"ids have to be whole numbers, but {column} is {kind.simpleString()}; number the rows, for instance with xxhash64")
+    return F.col(column).cast("long")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store and the path in it of a folder that executors share."""
     if "://" in uri or uri.startswith("file:"):
@@ -66,14 +74,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int =
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` on executors that are known to have this package, in batches of bounded size.
-
-    The bounds are settings of the session; they stay set, as plans read them when they run.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` on executors that are known to have this package, in batches of bounded size (``session.NEEDED``)."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -106,6 +108,52 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list[str | None]], l
     return in_arrow(plain, run, schema).toDF(*names)
 
 
+#: Fixed: the multiplier of word and shingle hashes.
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@lru_cache(5)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """GOLDEN^i and its inverse, for i below n."""
+    up, down = np.full(n, GOLDEN, np.uint64), np.full(n, pow(GOLDEN, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def run_hashes(raw: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of each run of bytes that aren't in ``gap`` (a flag for each byte value).
+
+    The hash is a polynomial over the run's bytes, by differences of running sums.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate([[True], gap[b], [True]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(begin):
+        return np.zeros(0, np.uint64), begin, end
+    up, down = powers(1 << max(17, len(b).bit_length()))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin, end
+
+
+def word_shingles(w: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` word hashes, in order; of fewer words, one of all."""
+    if not len(w):
+        return w
+    n = min(size, len(w))
+    h = np.full(len(w) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = mix(h * np.uint64(GOLDEN) + w[k : len(w) - n + 1 + k])
+    return h
+
+
 def ragged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The parts end to end, and the offsets of each."""
     ends = np.zeros(len(parts) + 1, np.int64)
