@@ -8,14 +8,16 @@ match; a document is scanned once, and every window that ends at a character is
 reported, also one inside another.  Normalising maps each byte to one byte, so
 word offsets in the scanned text point to bytes of the original.
 
-The items are read by the driver in blocks of at most ``BLOCK_BYTES`` of text
-(each sent to the executors as one automaton's windows).  A benchmark of more
-than one block is scanned block by block and the hits are merged, which gives the
-same result with memory that doesn't grow with the benchmark.
+A benchmark of up to ``BLOCK_BYTES`` of text (different items; some 20,000 questions) is
+one automaton and one scan.  The driver gets the items of a block at a time, which it
+sends to the executors.  Of a larger benchmark, whose automaton would not fit beside a
+task, each block has an automaton of its own: the texts are scanned once for each, and
+the hits are merged.  The result is the same and memory doesn't grow with the benchmark,
+but time does, by a scan for each block.  An item longer than a block is a block.
 
 Cases: a null or empty text has no words and no hits; items with null text have
 no window; windows of items with a null id hit words but aren't counted as items;
-repeated items count once; an empty benchmark or table gives no hits; other
+repeated items are taken once; ids of documents are whole numbers; an empty benchmark or table gives no hits; other
 columns are not read, whatever their names.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import union
-from .shared import filter_rows, map_arrow, materialise
+from .shared import filter_rows, map_arrow, materialise, whole_id
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text in one automaton: about 100 times that in memory.
@@ -92,7 +94,8 @@ def byte_spans(text: str, hits: list[tuple[int, int, frozenset]]) -> list[tuple[
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The items in lists of about block_bytes at most, one list at a time on the driver."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    # Each item once, so that repeated rows neither fill a block nor count towards the blocks.
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     if blocks == 1:
@@ -122,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """
     spark: SparkSession = docs.sparkSession
     schema = "doc long, n_words long, items array<string>, runs array<struct<a:long,b:long>>, spans array<struct<begin:long,end:long>>"
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    source = docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text"))
     blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
     first = next(blocks)
     more = next(blocks, None)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, materialise
+from .shared import map_arrow, materialise, whole_id
 
 UNIT, WIDTH, ROWS, DELAY_CS = 192, 192, 256, 10
 CLEAR, END, FIRST, LIMIT = 256, 257, 258, 4096
@@ -351,7 +351,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, media binary", rows=128)
+    return map_arrow(docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text")), make, "doc long, media binary", rows=128)
 
 
 def frame_rows(media: DataFrame, id_col: str = "doc", media_col: str = "media") -> DataFrame:
@@ -378,7 +378,7 @@ def frame_rows(media: DataFrame, id_col: str = "doc", media_col: str = "media")
 
         return f
 
-    out = map_arrow(media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")), make, schema, rows=32)
+    out = map_arrow(media.select(whole_id(media, id_col).alias("id"), F.col(media_col).alias("media")), make, schema, rows=32)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Memo, map_arrow
+from .shared import Memo, map_arrow, whole_id
 
 MARK = "▁"
 #: Marked words that a Python worker remembers.
@@ -197,7 +197,7 @@ def encode_spans(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         return f
 
-    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, ids array<int>, begins array<int>, ends array<int>, decoded string", rows=64)
+    out = map_arrow(docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text")), make, "doc long, ids array<int>, begins array<int>, ends array<int>, decoded string", rows=64)
     return out.withColumnRenamed("doc", id_col)
 
 
@@ -222,7 +222,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         return f
 
-    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long" + ", ids array<int>" * with_ids, rows=128)
+    out = map_arrow(docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text")), make, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long" + ", ids array<int>" * with_ids, rows=128)
     return out.withColumnRenamed("doc", id_col)
 
 

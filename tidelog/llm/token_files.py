@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import AtomicFile, Memo, filesystem, in_arrow, map_arrow, materialise, prefix_sums, scratch_path, text_batches
+from .shared import AtomicFile, Memo, filesystem, in_arrow, map_arrow, materialise, prefix_sums, scratch_path, text_batches, whole_id
 
 MAGIC = b"TLTOKEN1"
 BLOCK_IDS = 1 << 20
@@ -128,7 +128,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, code: str = "<u4", id_co
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), make, "doc long, ids binary", rows=4096)
+    return map_arrow(docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).alias("text")), make, "doc long, ids binary", rows=4096)
 
 
 def count_ids(encoded: DataFrame, code: str = "<u4") -> DataFrame:

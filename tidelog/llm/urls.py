@@ -18,7 +18,7 @@ out, and equal rules count once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rules of at most this number are sent to each executor (about 100 bytes each).
@@ -38,6 +38,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A few (verdict, host, path) as a table, by expressions alone."""
+    row = lambda r: F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("verdict", "host", "path"), strict=True)])
+    return spark.range(1).select(F.inline(F.array(*map(row, rules))))
+
+
 def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """id, host, path, rule and verdict of each row of pages; rules has verdict, host and path."""
     spark = pages.sparkSession
@@ -70,8 +76,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    return match_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+    return match_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
 
 
 OP7_SQL = r"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import AtomicFile, filesystem, in_arrow, materialise, scratch_path, text_batches
+from .shared import AtomicFile, filesystem, in_arrow, materialise, scratch_path, text_batches, whole_id
 
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 4 << 20, 64 << 10, 3
 #: The magic numbers of a dictionary's skippable frame and of a compressed frame.
@@ -153,7 +153,7 @@ def read_archive(path: str) -> Iterator[bytes]:
 
 def plan_records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """id, url, body, and the record's type and refers_to of each row."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
+    rows = pages.select(whole_id(pages, id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     sha = F.unhex(F.sha1("body"))
     best = rows.where(F.octet_length("body") >= least).groupBy(sha.alias("sha")).agg(F.max("id").alias("best"), F.count("*").alias("n"))
     # Groups of one need no join partner: what has none is a response.
