@@ -67,3 +67,19 @@ def test_clean_rows_keep_their_columns(spark, block):
     assert clean.columns == docs.columns
     wanted = [i for i, _, n, _ in brute([r[:2] for r in cases.ROWS], ITEMS, 4) if not n]
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def test_repeated_items_are_one_block(spark):
+    """An item that fills most of the benchmark is taken once."""
+    from tidelog.llm.decontaminate import item_blocks
+
+    many = spark.range(5000).select(F.lit(1).cast("long").alias("item_id"), F.lit(cases.BASE).alias("text"))
+    blocks = list(item_blocks(many, "item_id", "text", 1000))
+    assert blocks == [[(1, cases.BASE)]]
+    got = scan(cases.docs(spark), many, block_bytes=1000).where("doc_id = 1").first()
+    assert got["n_hit"] == 20 and got["items"] == ["1"]
+
+
+def test_string_ids_are_an_error(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        scan(cases.docs(spark).withColumn("doc_id", F.lit("x")), items(spark))

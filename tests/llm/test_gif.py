@@ -173,3 +173,44 @@ def test_cases(spark):
 def test_delays():
     gif = parse(encode([np.zeros((1, 1), np.uint8)] * 3, delay_cs=7, comment=b"x" * 300))
     assert [f.delay_cs for f in gif.frames] == [7, 7, 7] and gif.comments == [b"x" * 300] and gif.error is None
+
+
+def claims(width, height, frame=None):
+    """A small valid file whose header claims a size."""
+    two = lambda n: n.to_bytes(2, "little")
+    raw = bytearray(encode([np.zeros((2, 2), np.uint8)]))
+    at = raw.index(b"\x2c\0\0\0\0\x02\0\x02\0")
+    if frame:
+        raw[at + 5 : at + 9] = two(frame[0]) + two(frame[1])
+    raw[6:10] = two(width) + two(height)
+    return bytes(raw)
+
+
+def test_sizes_that_headers_claim_are_not_allocated(spark):
+    huge, wide, fine = claims(60_000, 60_000), claims(2, 2, (65_535, 65_535)), claims(4, 4)
+    for raw, what in ((huge, "canvas"), (wide, "frame")):
+        gif = parse(raw)
+        assert what in gif.error and "60000 x 60000" in gif.error or "65535 x 65535" in gif.error
+        assert list(frames(gif)) == []
+    rows = frame_rows(spark.createDataFrame([(1, huge), (2, wide), (3, fine), (4, b"GIF89a"), (5, None)], "doc long, media binary")).orderBy("doc").collect()
+    assert [(r["doc"], r["frame"], r["error"] is not None) for r in rows] == [(1, None, True), (2, None, True), (3, 0, False), (4, None, True), (5, None, True)]
+
+
+def test_query_equals_brute_force(spark, sf):
+    """Lengths and digests from the text itself; pixels by the plain decoder; colours counted one by one."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = op8(spark, sf).collect()
+    assert len(got) == len(texts)
+    for k, r in enumerate(got):
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or 192 * (not raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        bins, count = [0] * 64, -(-len(payload) // (192 * 256))
+        for b in payload:
+            red, green, blue = (b >> 5) * 255 // 7, (b >> 2 & 7) * 255 // 7, (b & 3) * 85
+            bins[(red // 64) * 16 + (green // 64) * 4 + blue // 64] += 1
+        assert r["feature"] == f"frames={count};ms={100 * count};colours=" + ",".join(f"{i}:{n}" for i, n in enumerate(bins) if n)
+        if k % 20 == 0:
+            media = text_to_gif(texts[r["doc_id"]])
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+            assert b"".join(plain_decode(f.data, f.least_bits, f.width * f.height) for f in parse(media).frames) == payload

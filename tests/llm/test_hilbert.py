@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tidelog.llm.hilbert import cut_rows, hilbert_index, hilbert_shards, op1, prune, shard_manifest, write_shards
+from tidelog.llm.hilbert import cut_rows, fit_grid, hilbert_index, hilbert_shards, measured, op1, prune, shard_manifest, write_shards
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 1)])
@@ -76,3 +76,82 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     sharded = hilbert_shards(docs, shards=3)
     write_shards(sharded, docs, str(tmp_path / "out"))
     assert cases.rows(spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text")) == cases.rows(docs.select("doc_id", "text"))
+
+
+def plain_index(point, bits):
+    """The curve bit by bit: reflect and rotate into the entry's frame, take the Gray code's rank, go on."""
+    dims, entry, axis, out = len(point), 0, 0, 0
+    turn = lambda x, k: ((x << k % dims) | (x >> (dims - k % dims))) & ((1 << dims) - 1)
+    for b in reversed(range(bits)):
+        corner = sum((x >> b & 1) << k for k, x in enumerate(point))
+        gray, rank = turn(corner ^ entry, dims - (axis + 1) % dims), 0
+        while gray:
+            rank, gray = rank ^ gray, gray >> 1
+        out = out << dims | rank
+        enters = 0 if not rank else (lambda i: i ^ i >> 1)(2 * ((rank - 1) // 2))
+        entry ^= turn(enters, axis + 1)
+        odd = rank - 1 if rank and rank % 2 == 0 else rank
+        axis = (axis + (0 if not rank else len(bin(odd)) - len(bin(odd).rstrip("1"))) + 1) % dims
+    return out
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grid = fit_grid(measured(docs, ("size", "lang", "source"), "doc_id", "text"), ("size",), ("lang", "source"))
+    rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("hash")).collect()
+    for c in ("lang", "source"):
+        assert list(grid.bounds[c]) == sorted({r[c] for r in rows if r[c] is not None})
+
+    def cell(name, value):
+        bounds = grid.bounds[name]
+        at = 0 if value is None else max(0, sum(b <= value for b in bounds) - 1)
+        return at * 64 // len(bounds)
+
+    places = {r["doc_id"]: plain_index((cell("size", len((r["text"] or "").encode()) + 16), cell("lang", r["lang"]), cell("source", r["source"])), 6) for r in rows}
+    least = {}
+    for r in rows:
+        least[r["text"]] = min(least.get(r["text"], 1 << 62), places[r["doc_id"]])
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (least[r["text"]], r["hash"], r["doc_id"]))]
+    small, larger = divmod(len(rows), 40)
+    wanted, at = {}, 0
+    for shard in range(40):
+        for slot in range(small + (shard < larger)):
+            wanted[order[at]] = (shard, slot)
+            at += 1
+    got = op1(spark, sf).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == wanted
+    assert {r["doc_id"]: r["hilbert"] for r in got} == {r["doc_id"]: least[r["text"]] for r in rows}
+
+
+def test_only_cuts_divide_equal_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    groups = op1(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("text").alias("t")), "doc_id").groupBy("t").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.countDistinct("shard").alias("n"), F.count("*").alias("rows")).where("rows > 1").collect()
+    assert len(groups) > 50 and all(g["b"] - g["a"] + 1 == g["n"] for g in groups)
+    assert sum(g["n"] > 1 for g in groups) <= 40  # a cut divides one group at most
+
+
+def test_pruning_by_every_dimension(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dims = ("size", "lang", "source")
+    grid = fit_grid(measured(docs, dims, "doc_id", "text"), ("size",), ("lang", "source"))
+    sharded = hilbert_shards(docs, grid=grid).cache()
+    manifest = shard_manifest(sharded, dims, grid).cache()
+    share = {r[0]: r[1] / sharded.count() for r in sharded.groupBy("source").count().collect()}
+    for source, rows in share.items():
+        kept = {r[0] for r in prune(manifest, source=(source, source)).collect()}
+        needed = {r["shard"] for r in sharded.where(F.col("source") == source).select("shard").distinct().collect()}
+        assert needed <= kept and (len(kept) < 20 or rows > 0.25), (source, len(kept))
+    for lang in ("de", "en", "es", "fr"):
+        needed = {r["shard"] for r in sharded.where(F.col("lang") == lang).select("shard").distinct().collect()}
+        kept = {r[0] for r in prune(manifest, lang=(lang, lang)).collect()}
+        assert needed <= kept and len(kept) <= len(needed) + 1
+
+
+def test_more_values_than_cells(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.format_string("v%03d", F.col("id") % 300).alias("lang"), F.when(F.col("id") % 7 != 0, F.lit("s")).alias("source"))
+    grid = fit_grid(measured(docs, ("size", "lang", "source"), "doc_id", "text"), ("size",), ("lang", "source"), 4)
+    assert 12 <= len(grid.bounds["lang"]) <= 16 and grid.bounds["lang"][0] == "v000" and grid.bounds["source"] == ("s",)
+    sharded = hilbert_shards(docs, shards=8, grid=grid)
+    check(sharded.collect(), 2000, 8)
+    kept = {r[0] for r in prune(shard_manifest(sharded, ("lang",), grid), lang=("v100", "v110")).collect()}
+    assert {r["shard"] for r in sharded.where("lang between 'v100' and 'v110'").collect()} <= kept

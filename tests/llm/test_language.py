@@ -121,3 +121,46 @@ def test_copies_do_not_starve_the_sample(spark):
     plain, copied = fit(rows.union(other), 100, bounds=False), fit(rows.union(copies).union(other), 100, bounds=False)
     assert (plain.table == copied.table).all()
     assert all(copied.judge(t)[0] == "aa" and copied.judge(t)[2] > 0.9 for t in texts)
+
+
+def test_marks_are_parts_of_words():
+    hindi, thai = "हिन्दी भाषा", "ภาษาไทย"
+    assert "".join(map(chr, fold(hindi))) == f" {hindi} " and "".join(map(chr, fold(thai))) == f" {thai} "
+
+
+def plain_grams(text):
+    from collections import Counter
+
+    words = "".join(c.lower() if len(c.lower()) == 1 else c for c in (x if x.isalpha() else " " for x in text)).split()
+    out = Counter()
+    for w in words:
+        w = f" {w} "
+        for n in (2, 3, 4):
+            out.update(w[i : i + n] for i in range(len(w) - n + 1))
+    return out
+
+
+def test_query_equals_brute_force(spark, sf):
+    """Next to exact sets of n-grams: the same language, and nearly the same score."""
+    import zlib
+    from collections import Counter
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in docs}
+    counts, rows = {}, Counter(lang for i, t, lang in docs if not held[i] and lang is not None and t is not None)
+    for lang, text in {(lang, t) for i, t, lang in docs if not held[i] and lang is not None and t is not None}:
+        counts.setdefault(lang, Counter()).update(plain_grams(text))
+    known = {lang: {g for g, _ in c.most_common(6000)} for lang, c in counts.items()}
+    got, close = {r["doc_id"]: r for r in op3(spark, sf).collect()}, 0
+    for i, t, _ in docs:
+        r = got[i]
+        assert r["held_out"] == held[i]
+        if not any(map(str.isalpha, t or "")):
+            assert (r["lang_pred"], r["score"]) == (UND, 0.0)
+            continue
+        found = {lang: sum(n for g, n in plain_grams(t).items() if g in known[lang]) for lang in known}
+        best = max(found, key=lambda x: (found[x], rows[x]))
+        clear = sorted(found.values())[-2] < 0.97 * found[best]
+        assert r["lang_pred"] == best or not clear
+        close += abs(r["score"] - found[best] / sum(found.values())) < 0.03
+    assert len(got) == len(docs) and close > 0.95 * len(docs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tidelog.llm import licenses as lic
-from tidelog.llm.license_texts import TEMPLATES
+from tidelog.llm.license_texts import TEMPLATES, whole_licenses
 from tidelog.llm.licenses import Scanner, miss_bound, op9, scan_licenses
 
 
@@ -140,3 +140,33 @@ def test_short_templates_are_found_in_long_texts():
     # What stands in a longer template's match is part of it.
     inner = Scanner({"long": TEMPLATES["MIT"], "inner": " ".join(words(TEMPLATES["MIT"])[20:23])})
     assert [g[0] for g in inner.scan(f"x {TEMPLATES['MIT']} y")] == ["long"]
+
+
+def test_whole_license_files():
+    scanner = Scanner(TEMPLATES | whole_licenses())
+    rng = random.Random(2)
+    for name, text in whole_licenses().items():
+        got = scanner.scan(f"{noise(rng, 100)}\n{text}\n{noise(rng, 100)}")
+        assert name in {g[0] for g in got} and max(got, key=lambda g: g[3] - g[2])[0] == name
+        lines = text.splitlines()
+        assert name in {g[0] for g in scanner.scan("\n".join(f"# {x}" for x in lines))}
+    assert scanner.scan(noise(rng, 3000)) == []
+
+
+def test_edits_down_to_the_threshold(scanner):
+    """Words put in until hardly enough shingles are left: what a search without bands finds is found."""
+    rng = random.Random(9)
+    wanted = found = 0
+    for name, template in TEMPLATES.items():
+        w = words(template)
+        if len(w) < 20:
+            continue
+        for _ in range(12):
+            edited = list(w)
+            for _ in range(max(1, int(len(w) * 0.2 / 5))):
+                edited.insert(rng.randrange(len(edited)), f"zz{rng.randrange(99)}")
+            text = " ".join(edited)
+            if name in brute(text, {name: template}):
+                wanted += 1
+                found += name in {g[0] for g in scanner.scan(text)}
+    assert wanted > 60 and found == wanted

@@ -218,3 +218,46 @@ def test_copies_without_an_id_stay_once(spark):
     assert sorted((r["text"] or "").lower() for r in got.where("doc_id is null and text is not null").collect()) == [cases.BASE]
     assert got.where("doc_id is null and text is null").count() == 4  # no text, no copy
     assert got.where("doc_id is not null").count() == nd.keep_one(docs, 5).where("doc_id is not null").count()
+
+
+def test_names_that_the_stage_uses_itself(spark):
+    docs = cases.docs(spark).withColumns({c: F.lit(7) for c in ("_stay", "_copy", "copy", "id", "stays", "told", "rep", "part", "member", "c2")})
+    assert nd.keep_one(docs, 5).columns == docs.columns
+    assert nd.keep_one(docs, 5).count() == nd.keep_one(cases.docs(spark), 5).count()
+
+
+def test_ids_have_to_be_numbers(spark):
+    named = cases.docs(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    for use in (nd.near_duplicates, nd.keep_one):
+        with pytest.raises(TypeError, match="whole numbers"):
+            use(named)
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "t u v w x y z"), (2, "a b c d e f g")]
+    kept = nd.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_large_groups_around_a_hub(spark, monkeypatch, chunk):
+    """A hub's group in several parts; a bucket that many bands repeat; cheap and dear comparisons."""
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    monkeypatch.setattr(nd, "CHEAP", 0 if chunk == 2 else 1024)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.04 else f"x{rng.random()}" for w in base)) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(nd.near_duplicates(df, 2)) == brute(rows, 2)
+
+
+def test_buckets_with_equal_members_count_once(spark):
+    sets = spark.createDataFrame([(1, b"a", [1, 2, 3]), (2, b"b", [1, 2, 4]), (3, b"c", [3, 5])], "rep long, digest binary, keys array<long>")
+    got = sorted(map(tuple, nd.band_members(sets).select("rep", "key").collect()))
+    assert got in ([(1, k), (1, 3), (2, k), (3, 3)] for k in (1, 2))
+
+
+def test_no_scratch_tables_are_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidelog.scratch._LOCAL_SCRATCH", [str(tmp_path)])
+    out = nd.near_duplicates(cases.docs(spark), 5)
+    assert len(list(tmp_path.iterdir())) == 1 and out.count() == len(cases.ROWS)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import duck, same
 from tests.llm import cases
-from tidelog.llm.warc import FRAME, OP10_SQL, SKIPPABLE, ArchiveWriter, Record, digest, op10, parse, plan_records, read_archive, read_records, write_archives
+from tidelog.llm.warc import FRAME, OP10_SQL, SKIPPABLE, ArchiveWriter, Record, digest, op10, parse, plan_records, read_archive, read_records, sample_pieces, write_archives
 
 
 def brute(rows, least=0):
@@ -104,3 +104,30 @@ def test_payload_with_blank_lines():
     assert parse(r.whole) == r
     again = Record("2", "revisit", "http://x: y", "1", digest(body), len(body), b"")
     assert parse(again.whole) == again
+
+
+def test_every_archive_has_the_dictionary_of_all_records(spark, tmp_path):
+    """It is sampled from all payloads, also for archives of a record, and read back."""
+    pages = spark.createDataFrame([(int(r.id), r.uri, r.payload.decode()) for r in records(60)], "page_id long, url string, html string")
+    manifest = write_archives(plan_records(pages).repartition(60), str(tmp_path / "w"))
+    rows = manifest.collect()
+    assert len(rows) > 20 and all(r["dictionary"] > 0 and r["note"] is None for r in rows)
+    assert {r["payload"].decode() for r in read_records(manifest, with_payload=True).collect()} == {r["html"] for r in pages.collect()}
+
+
+def test_why_there_is_no_dictionary(spark, tmp_path):
+    one = cases.pages(spark).where("page_id = 7")
+    row = write_archives(plan_records(one), str(tmp_path / "w")).first()
+    assert row["dictionary"] == 0 and "too few" in row["note"]
+
+
+def test_sample_covers_whole_records(spark):
+    """Pieces come from all records and all their parts, near the bound, and the same ones each time."""
+    long = "".join(f"{k:04d}" for k in range(100_000))
+    pages = spark.createDataFrame([(k, "u", long if k == 3 else f"short {k}") for k in range(40)], "page_id long, url string, html string")
+    got = sample_pieces(pages, "html", ["page_id", "url"], 100_000)
+    assert 50_000 < sum(map(len, got)) < 150_000 and got == sample_pieces(pages.repartition(7), "html", ["page_id", "url"], 100_000)
+    at = [long.index(p.decode()) for p in got if not p.startswith(b"short")]
+    assert min(at) < 100_000 and max(at) > 300_000
+    assert sample_pieces(pages, "html", ["page_id", "url"], 1 << 30) == sorted([f"short {k}".encode() for k in range(40) if k != 3] + [long[i : i + 4096].encode() for i in range(0, len(long), 4096)])
+    assert sample_pieces(pages.limit(0), "html", ["page_id"]) == []

@@ -17,7 +17,8 @@ back; the text's own length is in a comment.
 
 Cases: a null or empty text is a payload of blanks; equal texts have equal files; a
 media value that is null or no GIF gives ``error`` and no frames; a damaged file gives
-the frames before the damage and ``error``; ties and repeated rows are rows of their
+the frames before the damage and ``error``; so does one with a canvas or frame of more than
+``MOST_PIXELS``, which is not decoded (a canvas: no frames); ids are whole numbers; ties and repeated rows are rows of their
 own; an empty table gives an empty result; other columns are not read.
 """
 
@@ -43,6 +44,8 @@ _INDEX = np.arange(256)
 PALETTE = np.stack([(_INDEX >> 5) * 255 // 7, (_INDEX >> 2 & 7) * 255 // 7, (_INDEX & 3) * 85], 1).astype(np.uint8)
 #: Histogram bin of a channel's value: its upper 2 bits, 64 bins a frame.
 BINS = 64
+#: Pixels of a canvas or frame at most (4 bytes each, and a second canvas where a frame is undone): what a header claims is not allocated beyond.
+MOST_PIXELS = 1 << 24
 
 
 def _widths(first_bits: int) -> np.ndarray:
@@ -220,6 +223,11 @@ def _blocks(raw: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + n
 
 
+def _check_size(what: str, width: int, height: int) -> None:
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"{what} of {width} x {height} is larger than {MOST_PIXELS} pixels")
+
+
 def parse(raw: bytes | None) -> Gif:
     """The structure of a file; what is damaged ends it and is told in ``error``."""
     if not raw or raw[:6] not in (b"GIF87a", b"GIF89a") or len(raw) < 13:
@@ -228,6 +236,7 @@ def parse(raw: bytes | None) -> Gif:
     gif = Gif(two(6), two(8), None, raw[11])
     delay, disposal, transparent = 0, 0, None
     try:
+        _check_size("canvas", gif.width, gif.height)
         gif.palette, at = _colours(raw[10], raw, 13)
         while True:
             kind = raw[at]
@@ -245,6 +254,7 @@ def parse(raw: bytes | None) -> Gif:
                     gif.loops = body[12] | body[13] << 8
             elif kind == 0x2C:
                 left, top, width, height, flags = two(at + 1), two(at + 3), two(at + 5), two(at + 7), raw[at + 9]
+                _check_size("frame", width, height)
                 palette, at = _colours(flags, raw, at + 10)
                 least = raw[at]
                 if not 1 <= least <= 8:
@@ -264,6 +274,8 @@ def frames(gif: Gif) -> Iterator[tuple[Frame, np.ndarray, np.ndarray]]:
 
     The canvas is one array that later frames change.
     """
+    if not gif.frames:
+        return
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     for f in gif.frames:
         kept = canvas.copy() if f.disposal == 3 else None

@@ -1,7 +1,7 @@
 """Language ID by bit-sliced Bloom filters of character n-grams.
 
-For each language the most frequent n-grams (2 to 4 characters, words marked with
-blanks) of a bounded training sample go into one table: slot by slot a mask with a
+For each language the most frequent n-grams (2 to 4 characters; words, which are runs of
+letters and combining marks, are marked with blanks) of a bounded training sample go into one table: slot by slot a mask with a
 bit for each language, so one lookup (the AND of the n-gram's slots) returns all
 languages that contain it.  A text is scored by the number of its n-grams that each
 language contains, corrected for the false positives that the filling of its bits
@@ -32,6 +32,7 @@ letter; texts are read whole; other columns aren't read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,12 +52,18 @@ COVERED, LEAST_COVERED = 0.5, 0.05
 #: A language's bound is MARGIN of the quantile LOW of what its own texts have; with FEW texts or more, of each by what the others have.
 MARGIN, LOW, FEW = 0.6, 0.01, 10
 
+
+def in_word(c: str) -> bool:
+    """Letters, and the marks that many scripts write vowels and tones with."""
+    return c.isalpha() or unicodedata.category(c) in ("Mn", "Mc")
+
+
 #: Lower-cased code points below this are looked up; the others are kept as they are.
 _LOW = 0x600
 _FOLD = np.arange(_LOW, dtype=np.uint32)
 for _c in range(_LOW):
     _low = chr(_c).lower()
-    _FOLD[_c] = (ord(_low) if len(_low) == 1 else _c) if chr(_c).isalpha() else 32
+    _FOLD[_c] = (ord(_low) if len(_low) == 1 else _c) if in_word(chr(_c)) else 32
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -65,12 +72,12 @@ def has_letter(text: str) -> bool:
 
 
 def fold(text: str) -> np.ndarray:
-    """Code points with what isn't a letter as blanks, of which one is left between words and at the ends."""
+    """Code points with what isn't part of a word as blanks, of which one is left between words and at the ends."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(c) and c.max() >= _LOW:
         high = c >= _LOW
         out = np.where(high, 32, _FOLD[np.where(high, 32, c)])
-        kinds = {x: ord(low) if len(low := chr(x).lower()) == 1 else x for x in np.unique(c[high]).tolist() if chr(x).isalpha()}
+        kinds = {x: ord(low) if len(low := chr(x).lower()) == 1 else x for x in np.unique(c[high]).tolist() if in_word(chr(x))}
         for x, low in kinds.items():
             out[c == x] = low
     else:
@@ -213,7 +220,7 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP, bounds: b
         sample = materialise(sample, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, 4096, 1 << 20):  # the n-grams of a text take some 70 times its bytes
+        for b in text_batches(batches, 4096, 1 << 19):  # the n-grams of a text take some 70 times its bytes
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(fold(text)))

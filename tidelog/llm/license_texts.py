@@ -1,4 +1,9 @@
-"""Public licence texts and notices, by SPDX-like name."""
+"""Public licence texts and notices, by SPDX-like name; whole long licences are the files beside."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+from pathlib import Path
 
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -31,3 +36,9 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC-BY-SA-notice": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+
+
+@lru_cache(1)
+def whole_licenses() -> dict[str, str]:
+    """The long licences in full, as in their LICENSE files; ``{name}-text`` by file name.  Read on the driver."""
+    return {f"{p.stem if p.suffix == '.txt' else p.name}-text": p.read_text() for p in sorted((Path(__file__).parent / "license_files").iterdir())}

@@ -17,7 +17,12 @@ shingles occur.  Stretches that pass are reported with containment and byte offs
 those that overlap, the one with most shingles found stays, then that with the greater
 containment, then the shorter, then the first.
 
-Templates are a parameter (name to text), sent to executors up to ``TEMPLATE_BYTES``,
+With bands of one hash (``BAND_ROWS``) a band is one minimal hash: that bound is for whole
+templates in the text; edited ones are found down to the containment with the chances that
+their remaining windows give, which a test compares with a search without bands.
+
+Built in are notices, short licences and the headers of long ones (``TEMPLATES``), and some
+long ones in full (``whole_licenses``).  Templates are a parameter (name to text), sent to executors up to ``TEMPLATE_BYTES``,
 which is checked.
 
 A template of fewer than 5 words is one short shingle.  Texts are hashed in the lengths
@@ -25,7 +30,7 @@ that such templates have too, and each run of exactly its words is a match; wher
 overlap each other the longer stays, then the first, and none stays in the words of a
 match of a longer template.
 
-Cases: null and empty texts, and texts without a word, have no match; an empty template
+Cases: ids are whole numbers; null and empty texts, and texts without a word, have no match; an empty template
 is left out; of equal templates the first name is told;
 repeated rows are rows of their own; an empty table gives an empty result; other columns
 are not read.
@@ -41,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import TEMPLATES
+from .license_texts import TEMPLATES, whole_licenses
 from .shared import GOLDEN, map_arrow, mix, run_hashes, whole_id, word_shingles
 
 SHINGLE, CONTAINED = 5, 0.8
@@ -269,7 +274,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: the licences found, their number, and where."""
-    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEMPLATES | whole_licenses())
     m = F.col("matches")
     spans = F.transform(m, lambda x: F.concat(x["name"], F.lit(":"), x["begin"], F.lit("-"), x["end"]))
     return found.select("doc_id", F.size(m).cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(m["name"])), ",").alias("licenses"), F.coalesce(F.array_max(m["containment"]), F.lit(0.0)).alias("containment"), F.array_join(spans, " ").alias("spans"))

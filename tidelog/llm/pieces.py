@@ -11,7 +11,10 @@ character, merges never cross a word mark, so a text's ids are those of its mark
 words one after the other; these are remembered (``PieceMemo``).  Models for which
 that can't be shown encode each text whole.
 
-Cases: null counts as the empty text, which has no ids; the dummy prefix has an
+A model with an empty character map (as ``piece_bpe_32k.model``) replaces nothing but blanks,
+so the walk through the trie isn't run for it; the alignment is then that of the bytes.
+
+Cases: ids of documents are whole numbers; null counts as the empty text, which has no ids; the dummy prefix has an
 empty span at 0; a character that falls back to bytes gives each byte piece its own
 byte; texts are never cut; an empty table gives an empty result; other columns are
 not read.

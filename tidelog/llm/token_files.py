@@ -20,7 +20,7 @@ by that pattern, but only in texts made of characters whose class, case and comp
 are the same in all Unicode versions; all other texts go through the library whole.
 Between the steps an id takes 2 bytes if the vocabulary allows it, else 4.
 
-Cases: a null or empty text has the end id only; equal document numbers are
+Cases: ids are whole numbers; a null or empty text has the end id only; equal document numbers are
 ordered by their ids; a null document number comes first and stays null; an
 empty table writes ``ranks.bin`` alone; other columns are not read.
 """
@@ -83,8 +83,11 @@ class WordMemo:
         norm = t.get("normalizer") or {}
         pre = t.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in norm.get("normalizers", [])]
+        # White space becomes one blank, and nothing else is replaced.
+        replaces = [x for x in norm.get("normalizers", []) if x["type"] == "Replace"]
+        blanks = all(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in replaces)
         split = next((x for x in pre.get("pretokenizers", []) if x["type"] == "Split"), {})
-        return kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split.get("behavior") == "Removed" and t["model"].get("end_of_word_suffix") == "</w>"
+        return kinds == ["NFC", "Replace", "Lowercase"] and blanks and split.get("invert") is True and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split.get("behavior") == "Removed" and t["model"].get("end_of_word_suffix") == "</w>"
 
     def _learn(self, chunks: list[str]) -> Iterator[bytes]:
         """The words of all chunks go to the library in lines; a word ends where a token with the end mark does."""

@@ -2,17 +2,21 @@
 
 An archive (.warc.zst) begins with a skippable frame that holds its dictionary (itself
 compressed), and every record is a frame of its own, so a record can be read alone.
-Each task writes one archive: it holds back records up to ``SAMPLE_BYTES``, trains the
-dictionary on them (a bounded sample of the archived records), writes them, and goes on
-with the others one by one.  Too few or too small records train no dictionary; then the
-frame is left out.
+Each task writes one archive, record by record.  The dictionary is learned before, from a
+sample of all payloads that are to be archived: of their pieces of ``PIECE`` characters
+each is taken by a hash of record and place, at a rate that gives about ``SAMPLE_BYTES``,
+so every part of every record has the same chance, whatever its length and place.  Each
+archive embeds the dictionary, and the manifest tells its size.  Too few or too small
+pieces (under ``LEAST_PIECES``) train none; then the frame is left out and the manifest
+tells why.  (An ``ArchiveWriter`` that is used alone, without a dictionary, learns one
+from the records up to ``sample_bytes`` that it is given first.)
 
 Of records with equal payloads (by SHA-1) of at least ``least`` bytes the one with the
 largest id is a ``response``; the others are ``revisit`` records that name it, with the
 HTTP head but no payload.  The largest id of each digest comes from a partially
 aggregated group; it is joined back by digest, where AQE splits a hot one.
 
-Cases: a null payload is empty; a null id counts as smaller than all and is written as
+Cases: ids are whole numbers; a null payload is empty; a null id counts as smaller than all and is written as
 ``none``; rows with equal id and payload are all responses; a null URL is written
 without target; an empty table writes no archive; other columns are not read.
 """
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from .shared import AtomicFile, filesystem, in_arrow, materialise, scratch_path, text_batches, whole_id
 
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 4 << 20, 64 << 10, 3
+#: Characters of a piece of a payload, and pieces that a dictionary needs.
+PIECE, LEAST_PIECES = 4096, 8
 #: The magic numbers of a dictionary's skippable frame and of a compressed frame.
 SKIPPABLE, FRAME = bytes.fromhex("5d2a4d18"), bytes.fromhex("28b52ffd")
 CRLF = b"\r\n"
@@ -82,13 +88,28 @@ def parse(raw: bytes) -> Record:
     return out
 
 
+def learn_dictionary(samples: list[bytes]) -> tuple[bytes | None, str | None]:
+    """A dictionary of the samples, or why there is none."""
+    import zstandard as z
+
+    pieces = [x[i : i + PIECE] for x in samples for i in range(0, len(x), PIECE)]
+    if len(pieces) < LEAST_PIECES:
+        return None, f"{len(pieces)} pieces are too few for a dictionary"
+    try:
+        return z.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes(), None
+    except z.ZstdError as e:
+        return None, f"too little for a dictionary: {e}"
+
+
 class ArchiveWriter:
-    """One archive; ``add`` records, then ``close``."""
+    """One archive; ``add`` records, then ``close``.  dictionary: what ``learn_dictionary`` gave."""
 
-    def __init__(self, folder: str, name: str, sample_bytes: int = SAMPLE_BYTES):
+    def __init__(self, folder: str, name: str, sample_bytes: int = SAMPLE_BYTES, dictionary: tuple[bytes | None, str | None] | None = None):
         self.file, self.sample_bytes = AtomicFile(folder, name), sample_bytes
         self.held: list[bytes] = []
-        self.size, self.records, self.dictionary, self.packer = 0, 0, 0, None
+        self.size, self.records, self.dictionary, self.note, self.packer = 0, 0, 0, None, None
+        if dictionary is not None:
+            self._begin(*dictionary)
 
     def add(self, raw: bytes) -> None:
         self.records += 1
@@ -96,34 +117,43 @@ class ArchiveWriter:
             self.held.append(raw)
             self.size += len(raw)
             if self.size >= self.sample_bytes:
-                self._begin()
+                self._begin(*learn_dictionary(self.held))
             return
         self.file.write(self.packer.compress(raw))
 
-    def _begin(self) -> None:
+    def _begin(self, known: bytes | None, note: str | None) -> None:
         import zstandard as z
 
-        trained = None
-        try:
-            # A sample longer than the dictionary would crowd the others out of it.
-            trained = z.train_dictionary(DICTIONARY_BYTES, [x[:DICTIONARY_BYTES] for x in self.held]) if len(self.held) >= 8 else None
-        except z.ZstdError:
-            pass  # too little to learn from
-        if trained is not None:
-            body = z.ZstdCompressor(level=19).compress(trained.as_bytes())
+        self.note = note
+        if known is not None:
+            body = z.ZstdCompressor(level=19).compress(known)
             self.file.write(SKIPPABLE + len(body).to_bytes(4, "little") + body)
-            self.dictionary = len(trained.as_bytes())
-        self.packer = z.ZstdCompressor(level=LEVEL, dict_data=trained) if trained else z.ZstdCompressor(level=LEVEL)
+            self.dictionary = len(known)
+        self.packer = z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(known)) if known else z.ZstdCompressor(level=LEVEL)
         for raw in self.held:
             self.file.write(self.packer.compress(raw))
         self.held = []
 
     def close(self) -> None:
         if self.packer is None:
-            self._begin()
+            self._begin(*learn_dictionary(self.held))
         self.file.close()
 
 
+def sample_pieces(pages: DataFrame, body_col: str, key: list[str], sample_bytes: int = SAMPLE_BYTES) -> list[bytes]:
+    """About ``sample_bytes`` of all payloads, as pieces chosen by a hash of ``key`` and place."""
+    total = pages.agg(F.sum(F.octet_length(body_col))).first()[0] or 0
+    if not total:
+        return []
+    scale = 1 << 30
+    rate = min(scale, -(-sample_bytes * scale // total))
+    places = F.sequence(F.lit(0), F.floor((F.length(body_col) - 1) / F.lit(PIECE)).cast("int"))
+    taken = F.filter(places, lambda k: F.pmod(F.xxhash64(*key, k), F.lit(scale)) < F.lit(rate))
+    pieces = pages.where(F.length(body_col) > 0).select(F.col(body_col).alias("body"), F.explode(taken).alias("k"))
+    # Ordered, so that the dictionary doesn't depend on the layout of a run.
+    return sorted(r[0].encode() for r in pieces.select(F.col("body").substr(F.col("k") * F.lit(PIECE) + 1, F.lit(PIECE))).collect())
+
+
 def read_archive(path: str) -> Iterator[bytes]:
     """The records of an archive, one frame after the other; holds one record at a time."""
     import zstandard as z
@@ -163,24 +193,28 @@ def plan_records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_
     return joined.select("id", "url", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("type"), F.when(again, F.col("best")).alias("refers_to"), "body")
 
 
-def write_archives(planned: DataFrame, folder: str) -> DataFrame:
-    """Write the folder; returns its manifest: path, records, bytes, dictionary (bytes of it)."""
+def write_archives(planned: DataFrame, folder: str, samples: list[bytes] | None = None) -> DataFrame:
+    """Write the folder; returns its manifest: path, records, bytes, dictionary (bytes of it) and note (why there is none).
+
+    samples: what the dictionary is learned from; else it is sampled from the records to write.
+    """
+    dictionary = learn_dictionary(sample_pieces(planned.where("type = 'response'"), "body", ["id", "url"]) if samples is None else samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         name, out = f"part-{TaskContext.get().partitionId():05d}.warc.zst", None
         for b in text_batches(batches):
-            out = out or ArchiveWriter(folder, name)
+            out = out or ArchiveWriter(folder, name, dictionary=dictionary)
             for i, url, kind, refers, body in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 payload = body.encode()
                 uri = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
                 out.add(Record("none" if i is None else str(i), kind, uri, None if refers is None else str(refers), digest(payload), len(payload), payload).whole)
         if out:
             out.close()
-            yield pa.record_batch({"path": [f"{folder}/{name}"], "records": pa.array([out.records], pa.int64()), "bytes": pa.array([out.file.size], pa.int64()), "dictionary": pa.array([out.dictionary], pa.int64())})
+            yield pa.record_batch({"path": [f"{folder}/{name}"], "records": pa.array([out.records], pa.int64()), "bytes": pa.array([out.file.size], pa.int64()), "dictionary": pa.array([out.dictionary], pa.int64()), "note": pa.array([out.note], pa.string())})
 
-    return materialise(in_arrow(planned, run, "path string, records long, bytes long, dictionary long"), "warc-manifest")
+    return materialise(in_arrow(planned, run, "path string, records long, bytes long, dictionary long, note string"), "warc-manifest")
 
 
 def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -211,7 +245,8 @@ def read_records(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    manifest = write_archives(plan_records(pages), scratch_path(spark, "warc"))
+    # Sampled before the plan of records, which is then run once.
+    manifest = write_archives(plan_records(pages), scratch_path(spark, "warc"), sample_pieces(pages, "html", ["page_id", "url"]))
     return read_records(manifest).withColumnRenamed("id", "page_id")
 
 
