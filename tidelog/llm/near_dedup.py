@@ -64,9 +64,11 @@ KEPT = 128
 #: Rounds of stars at most, and the comparisons a membership that end them.
 TURNS, CHEAP = 8, 1024
 #: Members of a bucket that are compared with another such block at a time.
-BLOCK = 2048
+BLOCK = 1024
 #: Pairs around a hub that are verified together at most.
 CHUNK = 256
+#: Rows (48 bytes each) that are broadcast to fetch the texts they name at most; more are joined by a shuffle of the texts.
+WANTED = 500_000
 #: A pair goes to verification if its estimate is at most so many standard deviations below the threshold.
 SIGMAS = 5.0
 
@@ -245,6 +247,11 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
     return map_arrow(joined.select("a", "b", "ca", "cb", "na", "nb", "ra", "rb"), make, "a long, b long, ca long, cb long", rows=4096)
 
 
+def fetch(texts: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """texts joined with a table of reps; up to WANTED rows of it go to each executor, so that texts stay where they are."""
+    return texts.join(F.broadcast(wanted) if wanted.count() <= WANTED else wanted, "rep", how)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, ca, cb; a table), those linked by their full shingle sets; texts has rep and text.
 
@@ -257,7 +264,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     member = told.select(F.col("b").alias("rep"), "a", "part", F.lit(True).alias("member"), "ca", "cb")
     hub = told.select("a", "part").distinct().select(F.col("a").alias("rep"), "a", "part", F.lit(False).alias("member"), F.lit(None).cast("long").alias("ca"), F.lit(None).cast("long").alias("cb"))
     wanted = materialise(union(member, hub), "wanted")
-    rows = texts.join(wanted, "rep").select("a", "part", "member", "rep", "ca", "cb", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member", "rep")
+    rows = fetch(texts, wanted).select("a", "part", "member", "rep", "ca", "cb", "text").repartition("a", "part").sortWithinPartitions("a", "part", "member", "rep")
 
     def run(batches):
         at, hubs = None, []  # of a repeated id several texts
@@ -423,7 +430,7 @@ def between(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     becomes a row unless it links.
     """
     wanted = materialise(members.select("rep").distinct(), "wanted")
-    sets = materialise(short_sets(texts.join(wanted, "rep", "left_semi"), size), "sets")
+    sets = materialise(short_sets(fetch(texts, wanted, "left_semi"), size), "sets")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
     minors, majors = blocks("n_minor"), blocks("n_major")
     # Blocks outside the largest component have the numbers from 0, those of it the numbers behind.
