@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontaminate, language, near_dedup, pieces
 from tidelog.llm.shared import materialise, table
+from tidelog.scratch import scratch_scope
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return docs
+    docs = [table(spark, sf_dir, "documents")]
+    with scratch_scope(lambda: docs[-1:]):  # of the stages' tables the last one stays
+        for name, stage in STAGES:
+            docs.append(materialise(stage(spark, docs[-1], sf_dir), name))
+    return docs[-1]

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.compare import duck, same
 from tests.llm import cases
 from tidelog.llm import near_dedup as nd
+from tidelog.scratch import scratch_root
 from tidelog.session import union
 
 
@@ -257,7 +259,9 @@ def test_buckets_with_equal_members_count_once(spark):
     assert got in ([(1, k), (1, 3), (2, k), (3, 3)] for k in (1, 2))
 
 
-def test_no_scratch_tables_are_left(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("tidelog.scratch._LOCAL_SCRATCH", [str(tmp_path)])
+def test_no_scratch_tables_are_left(spark):
+    root = scratch_root(spark).removeprefix("file:")
+    here = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    before = here()
     out = nd.near_duplicates(cases.docs(spark), 5)
-    assert len(list(tmp_path.iterdir())) == 1 and out.count() == len(cases.ROWS)
+    assert {n.split("-")[0] for n in here() - before} == {"components"} and out.count() == len(cases.ROWS)
