@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 from itertools import chain, pairwise
 
@@ -73,10 +74,26 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int =
             yield b.slice(at, step)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, as Python workers live on for tasks of other operators."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` on executors that are known to have this package, in batches of bounded size (``session.NEEDED``)."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
