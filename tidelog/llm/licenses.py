@@ -118,6 +118,11 @@ def bands_of(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``, which is sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class SortedSpans:
     """Spans that don't overlap, in order."""
 
@@ -175,9 +180,11 @@ class Scanner:
             order = np.argsort(keys, kind="stable")
             self.tables[c] = keys[order], owners[order]
         self.minimal = np.unique(np.array(minimal, np.uint64))
-        # A table by 16 bits of the hash, so that most texts are done with one gather.
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.minimal >> np.uint64(48)).astype(np.int64)] = True
+        # A table by the first bits of the hash, of which few are set, so that most texts are done with one gather.
+        bits = max(16, (128 * len(self.minimal)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(self.minimal >> self.shift).astype(np.int64)] = True
 
     @staticmethod
     def holds(window: int) -> int:
@@ -186,8 +193,8 @@ class Scanner:
 
     def candidates(self, s: np.ndarray) -> list[int]:
         """Templates that share a band with a window of a text's shingles."""
-        found = s[self.seen[(s >> np.uint64(48)).astype(np.int64)]]
-        if not len(found) or not np.isin(found, self.minimal).any():
+        found = s[self.seen[(s >> self.shift).astype(np.int64)]]
+        if not len(found) or not among(found, self.minimal).any():
             return []
         out: set[int] = set()
         for c, (keys, owners) in self.tables.items():
@@ -206,7 +213,7 @@ class Scanner:
         """(shingles found, containment, first shingle, last shingle) of each stretch that holds enough of template k."""
         own, span = self.sets[k], 2 * self.sizes[k]
         need = int(np.ceil(self.contained * len(own) - 1e-9))
-        at = np.flatnonzero(np.isin(s, own))
+        at = np.flatnonzero(among(s, own))
         which = np.searchsorted(own, s[at]).tolist()
         at = at.tolist()
         count, distinct, left, found = {}, 0, 0, []
@@ -256,10 +263,11 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     """id and ``matches`` (name, containment, begin, end in bytes of the text) of each row."""
     if sum(map(len, templates.values())) > TEMPLATE_BYTES:
         raise ValueError(f"more than {TEMPLATE_BYTES} characters of templates")
-    known = dict(templates)
+    # Made once; its size is bounded by that of the templates.
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates))
 
     def make():
-        scanner = Scanner(known)
+        scanner = shared.value
         match = pa.list_(pa.struct([("name", pa.string()), ("containment", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
