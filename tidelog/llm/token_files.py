@@ -33,7 +33,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ from .shared import AtomicFile, Memo, filesystem, in_arrow, map_arrow, materiali
 
 MAGIC = b"TLTOKEN1"
 BLOCK_IDS = 1 << 20
-#: Words that a Python worker remembers, and words in a line that the library gets.
-MEMO_WORDS, LINE_WORDS = 400_000, 50
+#: Words that a Python worker remembers (some 200 bytes each), and words in a line that the library gets.
+MEMO_WORDS, LINE_WORDS = 800_000, 50
 
 STABLE = "\t\n\r" + "".join(map(chr, [*range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC]))
 
@@ -97,14 +97,14 @@ class WordMemo:
         if not all(words):  # the ends of a text that begins or ends with white space
             full = dict(zip(filter(None, chunks), self._learn([c for c in chunks if c]), strict=True))
             return (full.get(c, b"") for c in chunks)
-        flat = list(chain.from_iterable(words))
+        # Chunks share words, and the marks at their ends even more.
+        flat = list(dict.fromkeys(chain.from_iterable(words)))
         # Short texts: the library takes longer for a word in a long one.
         lines = [" ".join(flat[i : i + LINE_WORDS]) for i in range(0, len(flat), LINE_WORDS)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)), self.code)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        last = ends[np.cumsum(list(map(len, words))) - 1]
-        raw, at = ids.tobytes(), (self.size * last).tolist()
-        return (raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True))
+        raw, at = ids.tobytes(), (self.size * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        known = dict(zip(flat, (raw[i:j] for i, j in pairwise([0, *at])), strict=True)).__getitem__
+        return (known(w[0]) if len(w) == 1 else b"".join(map(known, w)) for w in words)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         by_chunk = [self.fits and self.stable.fullmatch(t) is not None and "<|" not in t for t in texts]
