@@ -16,15 +16,16 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions import EventTypes
 from ..functions.naming import id_selector
-from ..operators.aggregates import MATERIALIZE_FIRST, NEVER, WHILE_ENUMERATING, AggregateType, applies
+from ..operators.aggregates import MATERIALIZE_FIRST, NEVER, WHILE_ENUMERATING, AggregateType, Model, applies
 from ..operators.entities import AdapterRegistry
 from ..operators.snapshots import load_with_strategy, take_snapshots
 from ..scratch import scratch_path
 from ..sources.connectors import log_from_files
-from ..streaming.runner import IGNORED, CheckpointFrequency, Consumer, Interceptor, Subscription, intercepted, on
-from ..streaming.state_projection import StateProjection
+from ..sources.store import EventStore
+from ..streaming.runner import IGNORED, RETRY, SKIP, CheckpointFrequency, Consumer, Interceptor, Subscription, intercepted, on
+from ..streaming.state_projection import EventError, HandlerProjection, StateProjection
 from ..streaming.stateful import run_available
-from .catalog import ITEMS_SQL, SNAPSHOTS_SQL, _named, _snapshots, _store, item, log_of, query, snapshot_fold
+from .catalog import ITEMS_SQL, SNAPSHOTS_SQL, _broken, _named, _snapshots, _store, item, log_of, query, snapshot_fold
 from .fold import Reducer, reduce_streams
 
 # -- aggregates and entities ---------------------------------------------------------------------
@@ -116,7 +117,7 @@ class Cart:
 def discovered_appliers(spark: SparkSession, sf: str) -> DataFrame:
     """Events by their base, former names, appliers by name, by mark, and one that is configured instead."""
     types = EventTypes().map_all(CartEvent).map(Begun, "SessionStarted", ["signup"]).map(Added, "ItemAdded", ["purchase"]).map(Removed, "ItemRemoved", ["error"])
-    kind = AggregateType(Cart, id_of=id, appliers={Begun: lambda s, e: replace(s, started=True)}).discover()
+    kind = Model(types).add(AggregateType(Cart, id_of=id, appliers={Begun: lambda s, e: replace(s, started=True)}).discover()).of(Cart)
     known = {n for t in types.types for n in t.names}
 
     def step(state: Cart, event: dict) -> Cart:
@@ -259,13 +260,44 @@ def projection_callbacks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(told, "hook string, state long, position long, events long, items long, status string")
 
 
-def _run(spark: SparkSession, store, *consumers: Consumer) -> None:
+def _run(spark: SparkSession, store: EventStore, *consumers: Consumer) -> None:
     sub = Subscription(spark, store.stream, consumers, scratch_path(spark, "offsets"))
     sub.start()
     sub.catch_up()
     sub.stop()
 
 
+@query(
+    "projection_errors",
+    """WITH h AS (SELECT global_position AS position, k, global_position % 97 = 0 AS broken FROM {LOG} WHERE name = 'signup')
+ SELECT position, NOT broken AS decoded, CASE WHEN broken THEN 'payload of ''signup'' can''t be decoded' ELSE 'refused' END AS error, CASE WHEN broken THEN 'skip' ELSE 'retry' END AS answer FROM h WHERE broken OR k = 13
+ UNION ALL SELECT max(position), true, NULL, CAST(count(*) AS VARCHAR) FROM h WHERE NOT broken""",
+)
+def projection_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads that can't be decoded are skipped, events that are refused once are tried again; the last row has what was handled."""
+    told: list[tuple] = []
+    seen = {"handled": 0, "checkpoint": None, "refused": False}
+
+    def signed_up(event: dict) -> None:
+        seen["refused"] = event["k"] == 13 and not seen["refused"]
+        if seen["refused"]:
+            raise ValueError("refused")
+        seen["handled"] += 1
+
+    def failed(what: EventError) -> str:
+        answer = RETRY if what.event is not None else SKIP
+        told.append((what.position, what.event is not None, str(what.error), answer))
+        return answer
+
+    types = EventTypes().map("k long", "SessionStarted", ["signup"])
+    projection = HandlerProjection("errors", types, every=CheckpointFrequency(events=1000)).when("SessionStarted", signed_up).on("error", failed)
+    projection.on("checkpoint", lambda position: seen.update(checkpoint=position))
+    store = EventStore(spark, scratch_path(spark, "store"))
+    store.import_log(_broken(log_of(spark, sf)))
+    _run(spark, store, projection)
+    return spark.createDataFrame([*told, (seen["checkpoint"], True, None, str(seen["handled"]))], "position long, decoded boolean, error string, answer string")
+
+
 @query(
     "consumer_lifecycle",
     """WITH p AS (SELECT max(global_position) FILTER (name = 'purchase') AS last, min(global_position) FILTER (name = 'error') AS bad FROM {LOG})
