@@ -76,6 +76,16 @@ def test_cases_and_files(spark, tmp_path, library):
     assert sorted(ranks.tolist()) == list(range(len(ranks)))
 
 
+def test_files_grow_with_the_ids(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = tokenise_to_files(docs, PATH, str(tmp_path / "few"), 1)
+    n = few.agg({"n_ids": "sum"}).first()[0]
+    monkeypatch.setattr("tidelog.llm.token_files.FILE_IDS", n // 20)
+    many = tokenise_to_files(docs, PATH, str(tmp_path / "many"), 1)
+    assert few.count() < 20 <= many.count() <= 21
+    assert read_files(many).exceptAll(read_files(few)).count() == 0 and many.agg({"n_ids": "sum"}).first()[0] == n
+
+
 def test_empty(spark, tmp_path):
     manifest = tokenise_to_files(cases.empty(spark), PATH, str(tmp_path / "t"), 1)
     assert read_files(manifest).count() == 0 and (tmp_path / "t" / "ranks.bin").exists()

@@ -12,7 +12,8 @@ A folder holds ``ranks.bin`` (the id of every rank, uint32) and ``part-00000.tok
 blocks of: 4 int64 (documents, ids, control bytes, data bytes), the document
 numbers (int64), a null flag each (uint8), the ids of each document (int64),
 control bytes, data bytes.  Blocks hold about ``BLOCK_IDS`` ids or one longer
-document, so memory is bounded by the longest text.
+document, so memory is bounded by the longest text.  The number of files grows with
+the ids that were counted (``FILE_IDS``), so a task's share doesn't grow with the corpus.
 
 Words are encoded by the library once and remembered: ``WordMemo`` splits texts at
 white space, which no match of this tokenizer's pattern crosses, and learns the chunks
@@ -45,6 +46,8 @@ from .shared import AtomicFile, Memo, filesystem, in_arrow, map_arrow, materiali
 
 MAGIC = b"TLTOKEN1"
 BLOCK_IDS = 1 << 20
+#: Ids in a file, about: where the session's shuffle partitions would make larger ones, more files are written.
+FILE_IDS = 1 << 27
 #: Words that a Python worker remembers (some 200 bytes each), and words in a line that the library gets.
 MEMO_WORDS, LINE_WORDS = 800_000, 50
 
@@ -194,7 +197,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list
 
 
 def write_files(encoded: DataFrame, folder: str, vocab: int, partitions: int) -> DataFrame:
-    """Write the folder; returns its manifest: part, path, docs, n_ids, bytes.  The ids are of type ``code_of(vocab)``."""
+    """Write the folder, in ``partitions`` files or more; returns its manifest: part, path, docs, n_ids, bytes.
+
+    The ids are of type ``code_of(vocab)``.
+    """
     spark, code = encoded.sparkSession, code_of(vocab)
     size = np.dtype(code).itemsize
     # Bounded by the vocabulary, whatever the corpus.
@@ -226,7 +232,8 @@ def write_files(encoded: DataFrame, folder: str, vocab: int, partitions: int) ->
             file.close()
             yield pa.record_batch({"part": pa.array([part], pa.int32()), "path": [f"{folder}/part-{part:05d}.tok"], "docs": pa.array([docs_n], pa.int64()), "n_ids": pa.array([ids_n], pa.int64()), "bytes": pa.array([file.size], pa.int64())})
 
-    laid = encoded.repartitionByRange(partitions, "doc").sortWithinPartitions("doc", "ids")
+    files = max(partitions, -(-int(counted["n"].sum()) // FILE_IDS))
+    laid = encoded.repartitionByRange(files, "doc").sortWithinPartitions("doc", "ids")
     return materialise(in_arrow(laid, run, "part int, path string, docs long, n_ids long, bytes long"), "token-manifest")
 
 
