@@ -465,3 +465,35 @@ def test_model_consumer(spark, tmp_path):
         sub.catch_up()
         sub.stop()
         assert sorted(tuple(r) for r in model.rows().collect()) == [("s0", 0), ("s2", 4)] and model.position() == 4
+
+
+def test_events_come_to_the_driver_packed(spark, tmp_path, monkeypatch):
+    """Each batch's events go through ``packed``, and a consumer gets them in order."""
+    from tidelog.streaming import packed
+
+    monkeypatch.setattr(packed, "FEW", 1)
+    asked, packs = [], packed.packs
+    monkeypatch.setattr(packed, "packs", lambda df, order: asked.append(order) or packs(df, order))
+    store, c = store_of(spark, tmp_path / "store", 1), Seen()
+    sub = Subscription(spark, store.stream, [c], str(tmp_path / "offsets"))
+    sub.start()
+    sub.catch_up()
+    sub.stop()
+    assert asked == ["global_position"] and c.got == sorted(c.got) and len(c.got) > 1
+
+
+def test_marked_handlers_are_looked_up_once(monkeypatch):
+    from tidelog.streaming import runner
+
+    class Over(Seen):
+        @on("c")
+        def on_letter(self, e):
+            self.got.append(-e["global_position"])
+
+    looked = []
+    monkeypatch.setattr(runner, "dir", lambda kind: looked.append(kind) or dir(kind), raising=False)
+    base, over = Seen(), Over()
+    for k in range(3):
+        base.on_event(event(k)), over.on_event(event(k, "c"))
+    assert base.got == [0, 1, 2] and over.got == [0, -1, -2] and set(over.handlers()) == {"c"}
+    assert looked.count(Over) == 1

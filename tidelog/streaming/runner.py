@@ -16,7 +16,7 @@ has died: its consumers are dropped with ``ServerError``.
 
 Batches reach a consumer as DataFrames (``on_batch``; see ``ModelConsumer``), whose work
 is spread over executors, or, for per-event handlers, one event after the other in global
-order; then the driver holds one partition at a time.
+order; then the driver holds one partition and the next at a time, packed (see ``packed``).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidState
 from ..files import Files
 from ..functions.positions import compare
+from .packed import rows_in_order
 
 UNINITIALIZED, STOPPED, RUNNING, SUSPENDED = "Uninitialized", "Stopped", "Running", "Suspended"
 UNSUBSCRIBED, CATCHING_UP, LIVE = "Unsubscribed", "CatchingUp", "Live"
@@ -63,6 +65,12 @@ def on(*names: str) -> Callable:
     return mark
 
 
+@lru_cache(256)
+def _marked(kind: type) -> dict[str, str]:
+    """The attribute of each event name; kept, as it is asked for with every event."""
+    return {n: k for k in dir(kind) for n in getattr(getattr(kind, k), "_handles", ())}
+
+
 class Consumer:
     """Override what is needed.  ``event`` is a Row of the log; handlers run before a checkpoint passes it."""
 
@@ -73,8 +81,7 @@ class Consumer:
 
     def handlers(self) -> dict[str, Callable[[Row], object]]:
         """Marked methods by event name; an overriding method replaces what it overrides, with its names."""
-        marked = (getattr(self, k) for k in dir(type(self)) if hasattr(getattr(type(self), k), "_handles"))
-        return {n: f for f in marked for n in f._handles}
+        return {n: getattr(self, k) for n, k in _marked(type(self)).items()}
 
     def on_initializing(self) -> None: ...
 
@@ -273,7 +280,7 @@ class Session:
                     self.pending, self.processed_at, self.last = self.pending + n, last, last
                     self.checkpoint()
                     return
-                for event in frame.orderBy("global_position").toLocalIterator():
+                for event in rows_in_order(frame, "global_position", n):
                     self.handle(event)
                 if self._due():
                     self.checkpoint()
