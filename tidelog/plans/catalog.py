@@ -26,7 +26,7 @@ from ..sources.store import EventStore
 from ..streaming.model import ModelConsumer, ReadModel
 from ..streaming.runner import Subscription
 from ..streaming.source import read_log_stream
-from ..streaming.stateful import gated_counter, run_available, stream_table
+from ..streaming.stateful import GatedCounter, run_available, stream_table
 from .fold import Count, Fold, Greatest, KeyedSet, LastValue, Least, Reducer, Steps, Total, reduce_streams
 from .projection import Projection, checkpoint_positions, checkpoint_positions_live, checkpoint_times, consumer_events, per_checkpoint, route
 
@@ -556,11 +556,8 @@ STREAM_SCHEMA = "stream_name string, stream_position long, global_position long,
 def stream_cart_summary(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").count()
     stream = read_log_stream(spark, _log_table(spark, sf), STREAM_SCHEMA, most=-(-events // 3))
-    folder = scratch_path(spark, "summary")
-    counted = gated_counter(stream, "signup", "purchase", "error")
-    run_available(counted, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/v/batch={n}"), f"{folder}/_offsets", "update")
-    last = spark.read.parquet(f"{folder}/v").groupBy("stream_name").agg(F.max_by(F.struct("started", "item_count"), "version").alias("s"))
-    return last.select("stream_name", "s.started", "s.item_count")
+    counted = stream_table(spark, stream, GatedCounter("signup", "purchase", "error"), scratch_path(spark, "summary"))
+    return counted.select("stream_name", "started", "item_count")
 
 
 @query("stream_cart_items", ITEMS_SQL)

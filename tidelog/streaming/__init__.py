@@ -4,6 +4,6 @@ from .model import ModelConsumer, ReadModel
 from .runner import CheckpointFrequency, Consumer, Subscription, on
 from .source import read_log_stream
 from .state_projection import HandlerProjection, StateProjection
-from .stateful import gated_counter, stream_table
+from .stateful import GatedCounter, stream_table
 
-__all__ = ["CheckpointFrequency", "Consumer", "HandlerProjection", "ModelConsumer", "ReadModel", "StateProjection", "Subscription", "gated_counter", "on", "read_log_stream", "stream_table"]
+__all__ = ["CheckpointFrequency", "Consumer", "GatedCounter", "HandlerProjection", "ModelConsumer", "ReadModel", "StateProjection", "Subscription", "on", "read_log_stream", "stream_table"]

@@ -1,6 +1,7 @@
 """Read models in a folder, which move together with the position that they stand at.
 
-A model is the last operation of each key of a ``Projection``.  A batch writes the keys
+A model is the last operation of each key of a ``Projection`` (or what another fold of rows
+by key makes of them, as ``GatedCounter``).  A batch writes the keys
 that it changes as one part, and a commit file with the list of parts and the position
 makes it take effect; so a batch costs what it changes, and a model never has events
 that its position doesn't have.  Events up to the position are left out, so a batch that
